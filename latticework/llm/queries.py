@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digest_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
