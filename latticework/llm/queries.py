@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import held_out
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jpeg import stored_documents
 
