@@ -67,13 +67,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows, cut so that a slice holds about `limit` bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut so that a slice holds about `limit` bytes of text and at most `rows` rows, or one row."""
     for batch in batches:
         _, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
         at, n = 0, batch.num_rows
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            to = min(to, at + rows)
             yield batch.slice(at, min(to, n) - at)
             at = to
 

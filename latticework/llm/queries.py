@@ -21,6 +21,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import components
+
+    return components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jpeg import stored_documents
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slots of a membership filter; it takes SLOTS / 8 bytes wherever it is sent.
-SLOTS = 1 << 27
+SLOTS = 1 << 26
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -23,29 +23,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def buckets(df: DataFrame, bytes_each: int = 8 << 20, least: int = 64) -> int:
     """How many hash buckets to deal df's content into: by Spark's estimate of its size, so that a bucket stays small at any size."""
     spark: SparkSession = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # unknown: rows that come from no file
+        size = 0
     return int(min(1 << 20, max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)))
 
 
-def slot(*columns) -> "F.Column":
-    """The filter slot of a key."""
-    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS))
+def slot_filter(names: DataFrame):
+    """A broadcast bitmap of the 64-bit names in the column `name`, by their low bits.
 
-
-def slot_filter(slots: DataFrame):
-    """A broadcast bitmap of the slots in the column `slot`.
-
-    It holds SLOTS / 8 bytes whatever the number of keys, which bounds what is
+    It holds SLOTS / 8 bytes whatever the number of names, which bounds what is
     collected and broadcast.  It has false positives and no false negatives: it
     may only save work that an exact step would discard.
     """
-    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    slots = names.select(F.col("name").bitwiseAND(F.lit(SLOTS - 1)).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(SLOTS // 64, dtype=np.uint64)
     if words.num_rows:
         bitmap[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return slots.sparkSession.sparkContext.broadcast(bitmap)
+    return names.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def hit(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    s = slots.astype(np.int64)
-    return (bitmap[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+def hit(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit names may be in the bitmap."""
+    s = names & np.uint64(SLOTS - 1)
+    return (bitmap[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
