@@ -18,6 +18,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+#: Listed rules of op3_url_rules, in the contract's order.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import held_out
+    from .urlrules import judge, mine
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page is bad if its label says toxic or of low quality
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    labels = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    mined = mine(pages.join(labels, "page_id").select("url", "bad"))
+    return judge(pages, mined, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .samples import held_out
     from .toxicity import fit, score
@@ -27,6 +43,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, factor=1.2)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import components
 
