@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,14 @@ def regularity(centres: DataFrame, sheet: str) -> DataFrame:
     return base.select(sheet, "n_valleys", "pitch", F.coalesce(F.when(F.col("n_valleys") >= 2, value), F.lit(0.0)).alias("regularity"))
 
 
+def _covers(valleys: Column, start: Column, stop: Column, tol: int) -> Column:
+    return F.exists(valleys, lambda c: (start <= c - tol) & (stop > c + tol))
+
+
+def _cell(valleys: Column, start: Column, stop: Column) -> Column:
+    return F.size(F.filter(valleys, lambda c: c <= F.floor((start + stop) / 2)))
+
+
 def classify(boxes: DataFrame, x_valleys: DataFrame, y_valleys: DataFrame, sheet: str, tol: int = 2) -> DataFrame:
     """boxes with col, row (cells counted from 0) and axes: 1 and 2 mark axes on which the box covers a valley by more than tol."""
     out = boxes
@@ -44,6 +52,5 @@ def classify(boxes: DataFrame, x_valleys: DataFrame, y_valleys: DataFrame, sheet
         out = out.join(lists, sheet, "left")
         v = F.coalesce(F.col(f"_{name}"), F.array().cast("array<int>"))
         start, stop = F.col(lo), F.col(lo) + F.col(size)
-        covers = F.exists(v, lambda c, s=start, e=stop: (s <= c - tol) & (e > c + tol))
-        out = out.withColumn(f"_span_{name}", covers).withColumn(name, F.size(F.filter(v, lambda c, s=start, e=stop: c <= F.floor((s + e) / 2))))
+        out = out.withColumn(f"_span_{name}", _covers(v, start, stop, tol)).withColumn(name, _cell(v, start, stop))
     return out.withColumn("axes", F.col("_span_col").cast("int") + 2 * F.col("_span_row").cast("int")).drop("_col", "_row", "_span_col", "_span_row")
