@@ -8,10 +8,10 @@ are accumulated per pair, and pairs below the count or of unfit sizes are
 discarded.  The order puts n-grams that many sets share last.  Remaining pairs
 are verified on whole sets.
 
-A column that many sets share isn't squared: its sets are first compared with
-the column's smallest set alone; only where they are then still in different
-components are the pairs across components compared.  So components are exact
-and groups of thousands of near copies cost a few comparisons each.
+Sets of columns that many share aren't paired row by row: they are dealt into
+blocks by group, size class and hash, whole blocks are multiplied, and each
+product gives the links of a spanning forest only.  Components are exact and
+groups of thousands of near copies cost rows in proportion to their sets.
 
 Names: n-grams and sets are compared by 48-bit and 64-bit hashes.
 
@@ -38,8 +38,8 @@ from .spread import buckets, checkpoint, hit, slot_filter
 OVERLAP = 3
 #: An n-gram that more sets than this lead with goes last in the order; n-grams so moved, at most (8 bytes each, broadcast).
 HOT, HOT_MAX = 16, 1 << 20
-#: Sets of one column up to which all its pairs are multiplied out at once.
-SQUARE = 16
+#: Sets of one column up to which all its pairs are multiplied out at once; sets of a block; pairs from which a column is dense, and columns of a dense panel.
+SQUARE, BLOCK, PANEL = 16, 1024, 2048
 
 
 def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,43 +151,38 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
             else:
                 is_hot = np.zeros(len(own), dtype=bool)
             chosen = _leading(own, at, size[rows] - _least(size[rows], percent) + OVERLAP, is_hot)
-            upto = np.append(0, np.cumsum(chosen))[at]
-            lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(own[chosen].astype(np.int64)))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(names[rows].view(np.int64)), "n": pa.array(size[rows]), "keys": lists})
-
-    leads = checkpoint(base.mapInArrow(lead, "node long, n long, keys array<bigint>"))
-    entries = leads.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.first("n").alias("n"))
+            parts = []
+            for pick in (chosen & ~is_hot, chosen & is_hot):
+                upto = np.append(0, np.cumsum(pick))[at]
+                parts.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(own[pick].astype(np.int64))))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(names[rows].view(np.int64)), "n": pa.array(size[rows]), "cold": parts[0], "hot": parts[1]})
+
+    leads = checkpoint(base.mapInArrow(lead, "node long, n long, cold array<bigint>, hot array<bigint>"))
+    # reach: how many of a set's n-grams precede its hot ones, where its leading ones come to these
+    either = F.concat(F.transform("cold", lambda k: F.struct(k.alias("key"), F.lit(False).alias("hot"))), F.transform("hot", lambda k: F.struct(k.alias("key"), F.lit(True).alias("hot"))))
+    entries = leads.select("node", "n", F.size("cold").alias("reach"), F.explode(either).alias("e")).groupBy("e.key", "node").agg(F.first("n").alias("n"), F.first("e.hot").alias("hot"), F.first("reach").alias("reach"))
     columns = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "node")).alias("centre")).where("c > 1")
     shared = checkpoint(entries.join(columns, "key"))
 
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     # columns of few sets: all products, accumulated
     lists = shared.where(f"c <= {SQUARE}").groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("l"))
     lists = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(l, i + 2, {SQUARE}), y -> 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")).alias("y"))
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    counted = lists.select(*pair).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    large = shared.where(f"c > {SQUARE}")
-    others = large.groupBy("node").agg(F.count(F.lit(1)).alias("x"))
-    near = counted.where(f"k >= {OVERLAP}").select("a", "b")
-    rest = counted.where(f"k < {OVERLAP}")  # they may share columns that aren't multiplied out
-    rest = rest.join(others.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(others.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").where(f"k + least(xa, xb) >= {OVERLAP}").select("a", "b")
-    star = large.select("node", "centre", F.col("n").alias("na"), F.col("centre.n").alias("nb")).where("node != centre.node").where(fits)
-    star = star.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-    first_pairs = checkpoint(near.unionByName(rest).unionByName(star).distinct())
-    links = _verified(base, info, first_pairs, n, percent)
+    counted = lists.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    links = _verified(base, info, checkpoint(counted.where(f"k >= {OVERLAP}").select("a", "b")), n, percent)
+
+    # Columns of many sets: their sets in blocks.  Two sets that meet in a hot
+    # column have all their other n-grams among the leading ones, so those that
+    # stand in no other set's leading ones are in no common subset; a set that
+    # has too many of these links with none there.
+    known = shared.where("not hot").groupBy("node").agg(F.count(F.lit(1)).alias("_k")).withColumnRenamed("node", "_n")
+    large = shared.where(f"c > {SQUARE}").join(known, F.col("node") == F.col("_n"), "left")
+    most = F.when(F.col("hot"), F.col("n") - F.col("reach") + F.coalesce("_k", F.lit(0))).otherwise(F.col("n"))
+    large = large.withColumn("most", most).where(f"most * {100 + percent} >= {percent} * (n + ceil({percent} * n / 100))")
+    large = checkpoint(large.select("node", "n", F.col("centre.node").alias("centre")).distinct())
+    if not large.isEmpty():
+        links = links.unionByName(_blocked(base, info, large, n, percent))
     joined = connected_components(links, "a", "b")
 
-    # columns of many sets: pairs across the components that are left
-    named = large.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    left = checkpoint(named.join(mixed, "key"))
-    if not left.isEmpty():
-        x, y = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        across = x.join(y, "key").where("ca != cb and a < b").where(fits).select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
-        more = _verified(base, info, checkpoint(across), n, percent)
-        if not more.isEmpty():
-            joined = connected_components(links.unionByName(more), "a", "b")
-
     members = info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("d"))
     members = members.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "d", F.coalesce("component", "node").alias("comp"))
     members = checkpoint(members)
@@ -197,9 +192,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _verified(base: DataFrame, info: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names whose whole sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+def _sets(base: DataFrame, info: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, s (its n-gram names): the whole sets of the names in nodes, read from one text each."""
     wanted = slot_filter(nodes)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +206,12 @@ def _verified(base: DataFrame, info: DataFrame, pairs: DataFrame, n: int, percen
 
     keepers = info.groupBy("node").agg(F.min("doc_id").alias("d")).join(nodes, F.col("node") == F.col("name"), "left_semi")
     found = base.mapInArrow(fetch, "node long, d long, s binary").withColumnRenamed("node", "_n").withColumnRenamed("d", "_d")
-    sets = checkpoint(found.join(keepers, (F.col("_n") == F.col("node")) & F.col("_d").eqNullSafe(F.col("d"))).select("node", "s"))
+    return checkpoint(found.join(keepers, (F.col("_n") == F.col("node")) & F.col("_d").eqNullSafe(F.col("d"))).select("node", "s"))
+
+
+def _verified(base: DataFrame, info: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names whose whole sets reach the similarity."""
+    sets = _sets(base, info, pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct(), n)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +227,97 @@ def _verified(base: DataFrame, info: DataFrame, pairs: DataFrame, n: int, percen
     return checkpoint(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct())
 
 
+def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all sets of two blocks: the product of their incidence matrices, column by shared column.
+
+    Columns that many sets of both blocks share are multiplied as dense panels,
+    the others pair by pair.
+    """
+    sizes = [np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), size) for side, size in zip((left, right), sizes)]
+    keys = [np.concatenate(side) for side in (left, right)]
+    order = [np.argsort(k, kind="stable") for k in keys]
+    keys, rows = [k[o] for k, o in zip(keys, order)], [r[o] for r, o in zip(rows, order)]
+    names, first, count = zip(*(np.unique(k, return_index=True, return_counts=True) for k in keys))
+    _, i, j = np.intersect1d(names[0], names[1], assume_unique=True, return_indices=True)
+    a_at, a_n, b_at, b_n = first[0][i], count[0][i], first[1][j], count[1][j]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    dense = np.flatnonzero(a_n * b_n >= PANEL)
+    for c in range(0, len(dense), PANEL):
+        part = dense[c : c + PANEL]
+        panels = []
+        for at, size, row, height in ((a_at, a_n, rows[0], len(left)), (b_at, b_n, rows[1], len(right))):
+            panel = np.zeros((height, len(part)), dtype=np.float32)
+            panel[row[ragged(at[part], size[part])], np.repeat(np.arange(len(part)), size[part])] = 1
+            panels.append(panel)
+        out += panels[0] @ panels[1].T
+    thin = np.flatnonzero(a_n * b_n < PANEL)
+    for part in np.array_split(thin, max(1, int((a_n[thin] * b_n[thin]).sum()) >> 21)):
+        # each set of the left side against the run of sets of the right side
+        mine = rows[0][ragged(a_at[part], a_n[part])]
+        runs = np.repeat(b_n[part], a_n[part])
+        theirs = rows[1][ragged(np.repeat(b_at[part], a_n[part]), runs)]
+        out += np.bincount(np.repeat(mine, runs) * len(right) + theirs, minlength=out.size).reshape(out.shape)
+    return out.astype(np.int64)
+
+
+def _blocked(base: DataFrame, info: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the sets of large columns as all their links would.
+
+    Sets that columns connect form a group; a group is cut by size class and hash
+    into blocks of about BLOCK sets, and blocks of fitting sizes are multiplied.
+    A task gives the links of a spanning forest only, so rows grow with the sets.
+    """
+    groups = connected_components(large.select(F.col("node").alias("a"), F.col("centre").alias("b")), "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("g"))
+    size_class = F.floor(F.log("n") / np.log(1.05)).cast("int")
+    nodes = large.select("node", "n").distinct().join(groups, F.col("node") == F.col("_n")).select("node", "g", size_class.alias("s"))
+    counts = nodes.groupBy("g", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    nodes = checkpoint(nodes.join(counts, ["g", "s"]).withColumn("r", F.pmod(F.xxhash64("node"), F.col("parts"))).select("node", "g", "s", "r"))
+    sets = _sets(base, info, nodes.select(F.col("node").alias("name")), n)
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["node"].to_numpy())
+        table = table.take(pa.array(order))
+        blobs = table["set"].to_pylist()
+        ends = np.cumsum([len(b) // 8 for b in blobs])
+        return pa.table({k: table[k].slice(0, 1) for k in ("g", "s", "r")} | {"nodes": pa.array([table["node"].to_numpy().tobytes()], pa.binary()), "ends": pa.array([ends.astype(np.int64).tobytes()], pa.binary()), "keys": pa.array([b"".join(blobs)], pa.binary())})
+
+    rows = nodes.join(sets.withColumnRenamed("node", "_n").withColumnRenamed("s", "set"), F.col("node") == F.col("_n")).select("g", "s", "r", "node", "set")
+    blocks = checkpoint(rows.groupBy("g", "s", "r").applyInArrow(pack, "g long, s int, r long, nodes binary, ends binary, keys binary"))
+    reach = int(np.ceil(np.log(100 / percent) / np.log(1.05))) + 1
+    x, y = (blocks.select("g", *[F.col(c).alias(f"{p}_{c}") for c in ("s", "r", "nodes", "ends", "keys")]) for p in "xy")
+    meet = x.join(y, "g").where(f"y_s between x_s and x_s + {reach} and (y_s > x_s or y_r >= x_r)").drop("g", "x_s", "x_r", "y_s", "y_r")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = []
+                for p in "xy":
+                    ends, keys = np.frombuffer(row[f"{p}_ends"], dtype=np.int64), np.frombuffer(row[f"{p}_keys"], dtype=U64)
+                    sides.append((np.frombuffer(row[f"{p}_nodes"], dtype=np.int64), np.split(keys, ends[:-1])))
+                (a, left), (b, right) = sides
+                inter = product(left, right)
+                total = np.fromiter(map(len, left), dtype=np.int64)[:, None] + np.fromiter(map(len, right), dtype=np.int64)[None, :]
+                i, j = np.nonzero((100 * inter >= percent * (total - inter)) & (a[:, None] != b[None, :]))
+                root: dict[int, int] = {}
+                keep = []
+                for u, v in zip(a[i].tolist(), b[j].tolist()):
+                    ru, rv = u, v
+                    while (up := root.get(ru, ru)) != ru:
+                        root[ru] = root.get(up, up)
+                        ru = up
+                    while (up := root.get(rv, rv)) != rv:
+                        root[rv] = root.get(up, up)
+                        rv = up
+                    if ru != rv:
+                        root[ru] = rv
+                        keep.append((u, v))
+                pairs = np.array(keep, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+    return checkpoint(meet.mapInArrow(multiply, "a long, b long").distinct())
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest id; texts without words all stay."""
     found = components(docs, n, percent, id_col, text_col).where("n_shingles > 0 and doc_id is not null and component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
