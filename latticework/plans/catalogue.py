@@ -36,7 +36,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as boxes on SHEET sheets of SIDE pixels; the id is made of the row's keys."""
-    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    li = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("l_quantity"))
     i = lambda e: F.expr(f"cast({e} as int)")
     return li.select(
         i(f"l_orderkey % {SHEET}").alias("sheet"),
