@@ -12,9 +12,10 @@ BACKOFF times its share of all words:
     S(b | a) = count(a b) / count(a)   if count(a b) >= KEEP
              = BACKOFF * count(b) / N  else;     S(first) = count(first) / N
 
-The word table is broadcast (WORDS rows at most).  So is a filter of the
-bigrams in the table, of fixed size: what it rules out backs off at once,
-everything else is joined with the table itself, so results don't depend on it.
+The word table is broadcast (WORDS rows at most), and so are the table's HEAD
+most frequent bigrams and a filter of fixed size of all its bigrams.  What the
+head holds or the filter rules out is scored at once; everything else is joined
+with the table itself, so results don't depend on head and filter.
 
 Defined cases: a text without words has 0 words, log_score 0 and no mean; rows of
 one id count as one document; a null id is a document of its own; extra columns
@@ -34,6 +35,8 @@ from .kernels import U64, Words, mix, pack_by, slices
 from .spread import buckets, checkpoint, hit, slot_filter
 
 WORDS, KEEP, BACKOFF = 65_535, 2, 0.4
+#: The table's most frequent bigrams that are broadcast, 8 bytes each.
+HEAD = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -83,13 +86,13 @@ class Vocabulary:
         return np.where(self.names[k] == names, k, len(self.names))
 
     def bigrams(self, column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, their numbers, and the bigrams that end at each word but the first of a text, with the word's place."""
+        """Words, their numbers, and the bigrams (two 16-bit numbers) that end at each word but the first of a text, with the word's place."""
         words = Words(column)
         number = np.concatenate([self.numbers(h) for h in np.array_split(words.hashes(), max(1, len(words.starts) >> 16))]) if len(words.starts) else np.zeros(0, dtype=np.int64)
         later = np.ones(len(number), dtype=bool)
         later[words.first[:-1][words.counts > 0]] = False
         at = np.flatnonzero(later)
-        return words, number, (number[at - 1].astype(U64) << U64(32)) | number[at].astype(U64), at
+        return words, number, (number[at - 1].astype(np.uint32) << np.uint32(16)) | number[at].astype(np.uint32), at
 
 
 def vocabulary(docs: DataFrame, text_col: str, n_buckets: int, most: int = WORDS) -> Vocabulary:
@@ -118,6 +121,35 @@ def vocabulary(docs: DataFrame, text_col: str, n_buckets: int, most: int = WORDS
     return Vocabulary(kept["name"].to_numpy().view(U64), kept["n"].to_numpy(), int(tokens))
 
 
+def _head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table's most frequent bigrams, at most `most`, and their counts: work that batches can do at once."""
+
+    def of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                n, k = np.unique(np.frombuffer(blob, dtype=np.int64), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"n": pa.array(n), "k": pa.array(k)})
+
+    seen, least = 0, 1
+    for r in table.select("counts").mapInArrow(of_counts, "n long, k long").groupBy("n").agg(F.sum("k").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        if seen + r["k"] > most:
+            least = r["n"] + 1
+            break
+        seen += r["k"]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = np.frombuffer(counts, dtype=np.int64)
+                pick = n >= least
+                yield pa.RecordBatch.from_pydict({"names": pa.array([np.frombuffer(names, dtype="<u4")[pick].tobytes()], pa.binary()), "counts": pa.array([n[pick].astype("<u4").tobytes()], pa.binary())})
+
+    got = table.select("names", "counts").mapInArrow(top, "names binary, counts binary").toArrow()
+    names, n = _joined(got, "names", "<u4"), _joined(got, "counts", "<u4")
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: int = KEEP, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words) and mean_log_score of each document."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -125,15 +157,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(base, "text", n_buckets, words))
     log_backoff = float(np.log(backoff))
 
+    def place(names: np.ndarray) -> np.ndarray:
+        return (mix(names.astype(U64), 21) % U64(n_buckets)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Batches(["names", "counts"])
         for batch in slices(batches):
             names, n = np.unique(sent.value.bigrams(batch.column(0))[2], return_counts=True)
-            yield from out.add((mix(names, 21) % U64(n_buckets)).astype(np.int64), names, n.astype("<u4"))
+            yield from out.add(place(names), names, n.astype("<u4"))
         yield from out.flush()
 
     def frequent(table: pa.Table) -> pa.Table:
-        names, n = _summed(_joined(table, "names", U64), _joined(table, "counts", "<u4"))
+        names, n = _summed(_joined(table, "names", "<u4"), _joined(table, "counts", "<u4"))
         names, n = names[n >= keep], n[n >= keep]
         return pa.table({"bucket": table["bucket"].slice(0, 1), "names": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
@@ -142,47 +177,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"name": pa.array(mix(np.frombuffer(blob, dtype=U64), 22).view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"name": pa.array(mix(np.frombuffer(blob, dtype="<u4").astype(U64), 22).view(np.int64))})
 
     known = slot_filter(table.select("names").mapInArrow(names_of, "name long"))
+    head = docs.sparkSession.sparkContext.broadcast(_head(table, HEAD))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents' bigrams that may be in the table, by the table's buckets; the rest is summed here (bucket -1)."""
+        """The documents' bigrams that may be in the table beyond its head, by the table's buckets; the rest is summed here (buckets below 0)."""
         out = _Batches(["names", "counts", "docs"])
         for batch in slices(batches):
-            v = sent.value
+            v, (top, top_n) = sent.value, head.value
             w, number, names, at = v.bigrams(batch.column(1))
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
             row = w.row
-            maybe = hit(known.value, mix(names, 22))
+            maybe = hit(known.value, mix(names.astype(U64), 22))
+            value = log_backoff + v.log_share[number[at]]
+            if len(top):
+                k = np.minimum(np.searchsorted(top, names), len(top) - 1)
+                there = top[k] == names
+                value = np.where(there, np.log(top_n[k]) - v.log_count[number[at - 1]], value)
+                maybe &= ~there
             local = v.log_share[number].copy()
-            local[at] += log_backoff
-            local[at[maybe]] = 0
+            local[at] = np.where(maybe, 0, value)
             sums = np.bincount(row, weights=local, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "names": pa.array([sums.tobytes()], pa.binary()), "counts": pa.array([w.counts.astype("<u4").tobytes()], pa.binary()), "docs": pa.array([ids.tobytes()], pa.binary())})
+            spread = -1 - int(mix(ids[:1].view(U64), 24)[0] % U64(n_buckets))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([spread], pa.int32()), "names": pa.array([sums.tobytes()], pa.binary()), "counts": pa.array([w.counts.astype("<u4").tobytes()], pa.binary()), "docs": pa.array([ids.tobytes()], pa.binary())})
             # one entry for each bigram of a document
-            key, doc = names[maybe], row[at[maybe]]
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, dtype=bool)
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(key)))
-            key, doc = key[first], ids[doc[first]]
-            yield from out.add((mix(key, 21) % U64(n_buckets)).astype(np.int64), key, n.astype("<u4"), doc)
+            key, n = np.unique((row[at[maybe]].astype(U64) << U64(32)) | names[maybe], return_counts=True)
+            doc, key = ids[(key >> U64(32)).astype(np.int64)], key.astype(np.uint32)
+            yield from out.add(place(key), key, n.astype("<u4"), doc)
         yield from out.flush()
 
-    pieces = checkpoint(base.mapInArrow(explode, "bucket int, names binary, counts binary, docs binary").withColumn("part", F.monotonically_increasing_id()))
     # the table's row meets the pieces of its bucket one by one, so a bucket's pieces are never gathered
-    met = pieces.where("bucket >= 0").join(table.select("bucket", F.col("names").alias("known"), F.col("counts").alias("seen")), "bucket", "left").select("names", "counts", "docs", "known", "seen")
+    pieces = base.mapInArrow(explode, "bucket int, names binary, counts binary, docs binary")
+    met = pieces.join(table.select("bucket", F.col("names").alias("known"), F.col("counts").alias("seen")), "bucket", "left").select("bucket", "names", "counts", "docs", "known", "seen")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 v = sent.value
-                names, n, doc = np.frombuffer(r["names"], dtype=U64), np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["docs"], dtype=np.int64)
-                a, b = (names >> U64(32)).astype(np.int64), (names & U64(0xFFFFFFFF)).astype(np.int64)
+                n, doc = np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["docs"], dtype=np.int64)
+                if r["bucket"] < 0:
+                    yield _sums(doc, n, np.frombuffer(r["names"], dtype=np.float64))
+                    continue
+                names = np.frombuffer(r["names"], dtype="<u4")
+                a, b = (names >> np.uint32(16)).astype(np.int64), (names & np.uint32(0xFFFF)).astype(np.int64)
                 value = log_backoff + v.log_share[b]
-                own, seen = np.frombuffer(r["known"] or b"", dtype=U64), np.frombuffer(r["seen"] or b"", dtype=np.int64)
+                own, seen = np.frombuffer(r["known"] or b"", dtype="<u4"), np.frombuffer(r["seen"] or b"", dtype=np.int64)
                 if len(own):
                     k = np.minimum(np.searchsorted(own, names), len(own) - 1)
                     there = own[k] == names
@@ -194,14 +235,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         packed = list(pack_by((mix(doc.view(U64), 23) % U64(n_buckets)).astype(np.int64), doc, n, value))
         return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([x[k] for _, x in packed], pa.binary()) for k, name in enumerate(("docs", "n", "value"))})
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield _sums(np.frombuffer(r["docs"], dtype=np.int64), np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["names"], dtype=np.float64))
-
-    kind = "bucket int, docs binary, n binary, value binary"
-    every = met.mapInArrow(sums, kind).unionByName(pieces.where("bucket = -1").select("names", "counts", "docs").mapInArrow(local, kind))
-
     def by_document(table: pa.Table) -> pa.Table:
         doc, of = np.unique(_joined(table, "docs", np.int64), return_inverse=True)
         n = np.bincount(of, weights=_joined(table, "n", "<u4"), minlength=len(doc)).astype(np.int64)
@@ -209,4 +242,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         mean = value / np.maximum(n, 1)
         return pa.table({"doc_id": pa.array(doc, mask=doc == _NULL_ID), "n_words": pa.array(n), "log_score": pa.array(value), "mean_log_score": pa.array(mean, mask=n == 0)})
 
+    every = met.mapInArrow(sums, "bucket int, docs binary, n binary, value binary")
     return every.groupBy("bucket").applyInArrow(by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
