@@ -285,8 +285,13 @@ def _blocked(base: DataFrame, info: DataFrame, large: DataFrame, n: int, percent
     rows = nodes.join(sets.withColumnRenamed("node", "_n").withColumnRenamed("s", "set"), F.col("node") == F.col("_n")).select("g", "s", "r", "node", "set")
     blocks = checkpoint(rows.groupBy("g", "s", "r").applyInArrow(pack, "g long, s int, r long, nodes binary, ends binary, keys binary"))
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.05))) + 1
-    x, y = (blocks.select("g", *[F.col(c).alias(f"{p}_{c}") for c in ("s", "r", "nodes", "ends", "keys")]) for p in "xy")
-    meet = x.join(y, "g").where(f"y_s between x_s and x_s + {reach} and (y_s > x_s or y_r >= x_r)").drop("g", "x_s", "x_r", "y_s", "y_r")
+    # pairs of block numbers first, then each side's content by its own number: a large group's blocks spread over tasks
+    x, y = (blocks.select("g", *[F.col(c).alias(f"{p}_{c}") for c in "sr"]) for p in "xy")
+    meet = x.join(y, "g").where(f"y_s between x_s and x_s + {reach} and (y_s > x_s or y_r >= x_r)")
+    for p in "xy":
+        content = blocks.select("g", *[F.col(c).alias(f"{p}_{c}") for c in ("s", "r", "nodes", "ends", "keys")])
+        meet = meet.join(content, ["g", f"{p}_s", f"{p}_r"])
+    meet = meet.select(*[f"{p}_{c}" for p in "xy" for c in ("nodes", "ends", "keys")])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,8 +37,8 @@ from .spread import buckets, checkpoint, hit, slot_filter
 
 WINDOW = 50
 ROUNDS = 7
-#: Bytes of window names that one verifying task takes.
-SALT_BYTES = 16 << 20
+#: A bucket is split by salt above so many bytes of window names and so many times the mean bucket.
+HOT_BYTES, HOT_TIMES = 1 << 20, 4
 
 
 def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,34 +125,33 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                 continue
             fresh = np.ones(len(w.at), dtype=bool)
             fresh[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1])
-            ids = batch.column(0).to_numpy()[w.row[fresh]]
-            name = w.anchor[fresh]
-            order = np.lexsort((ids, name))
-            name, ids = name[order], ids[order]
-            # of each symbol, two documents at most: that tells that it is shared
-            other = np.ones(len(name), dtype=bool)
-            other[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
-            name, ids = name[other], ids[other]
+            # of each symbol, one code for each text of the batch, two at most: that tells that it is shared
+            name, row = w.anchor[fresh], w.row[fresh]
+            order = np.lexsort((row, name))
+            name, row = name[order], row[order]
+            name = name[np.append(True, (name[1:] != name[:-1]) | (row[1:] != row[:-1]))]
             third = np.zeros(len(name), dtype=bool)
             third[2:] = name[2:] == name[:-2]
-            name, ids = name[~third], ids[~third]
-            packed = list(pack_by((name % U64(n_buckets)).astype(np.int64), name, ids))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32()), "names": pa.array([x[0] for _, x in packed], pa.binary()), "ids": pa.array([x[1] for _, x in packed], pa.binary())})
+            name = name[~third]
+            packed = list(pack_by((name % U64(n_buckets)).astype(np.int64), (name >> U64(32)).astype("<u4")))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32()), "codes": pa.array([x[0] for _, x in packed], pa.binary())})
+
+    def code(bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """What the filter of shared symbols goes by; codes may coincide, which only means more windows to verify."""
+        return mix((bucket.astype(U64) << U64(32)) | name, 6)
 
     def shared(table: pa.Table) -> pa.Table:
-        name, ids = np.frombuffer(b"".join(table["names"].to_pylist()), dtype=U64), np.frombuffer(b"".join(table["ids"].to_pylist()), dtype=np.int64)
-        order = np.argsort(name, kind="stable")
-        name, ids = name[order], ids[order]
-        differ = np.flatnonzero((name[1:] == name[:-1]) & (ids[1:] != ids[:-1]))
-        return pa.table({"name": pa.array(np.unique(name[differ]).view(np.int64))})
+        codes, n = np.unique(np.frombuffer(b"".join(table["codes"].to_pylist()), dtype="<u4"), return_counts=True)
+        codes = codes[n > 1].astype(U64)
+        return pa.table({"name": pa.array(code(np.full(len(codes), table["bucket"][0].as_py()), codes).view(np.int64))})
 
-    common = base.mapInArrow(survey, "bucket int, names binary, ids binary").groupBy("bucket").applyInArrow(shared, "name long")
+    common = base.mapInArrow(survey, "bucket int, codes binary").groupBy("bucket").applyInArrow(shared, "name long")
     wanted = slot_filter(common)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = _Windows(batch.column(1), window)
-            use = np.flatnonzero(hit(wanted.value, w.anchor))
+            use = np.flatnonzero(hit(wanted.value, code(w.anchor % U64(n_buckets), w.anchor >> U64(32))))
             if not len(use):
                 continue
             row, place, anchor, keys = w.row[use], w.place[use], w.anchor[use], w.keys[use]
@@ -167,15 +166,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
             ids, cut = np.unique(bucket, return_index=True)
             cut = np.append(cut, len(bucket))
             upto = np.append(0, np.cumsum(length))
-            doc, place, anchor = batch.column(0).to_numpy()[row[at]], place[at].astype(np.int32), anchor[at]
-            length = length.astype(np.int32)
+            keys = mix(keys ^ np.repeat(anchor[at], length), 5)  # a window's name together with its symbol's
+            doc, place, length = batch.column(0).to_numpy()[row[at]], place[at].astype("<u4"), length.astype("<u4")
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
             part = lambda column: pa.array([column[i:j].tobytes() for i, j in spans], pa.binary())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "doc": part(doc), "place": part(place), "length": part(length), "anchor": part(anchor), "keys": pa.array([keys[upto[i] : upto[j]].tobytes() for i, j in spans], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "doc": part(doc), "place": part(place), "length": part(length), "keys": pa.array([keys[upto[i] : upto[j]].tobytes() for i, j in spans], pa.binary())})
 
-    entries = checkpoint(base.mapInArrow(windows, "bucket int, doc binary, place binary, length binary, anchor binary, keys binary").withColumn("part", F.monotonically_increasing_id()))
-    sizes = entries.groupBy("bucket").agg(F.ceil(F.sum(F.length("keys")) / SALT_BYTES).cast("int").alias("salts"))
-    sizes = checkpoint(sizes)
+    entries = checkpoint(base.mapInArrow(windows, "bucket int, doc binary, place binary, length binary, keys binary").withColumn("part", F.monotonically_increasing_id()))
+    sizes = entries.groupBy("bucket").agg(F.sum(F.length("keys")).alias("size"))
+    limit = max(HOT_BYTES, int(HOT_TIMES * (sizes.agg(F.avg("size")).first()[0] or 0)))
+    sizes = checkpoint(sizes.select("bucket", F.ceil(F.col("size") / limit).cast("int").alias("salts")))
+    dealt = entries.join(F.broadcast(sizes), "bucket")  # a row for each bucket, 2**20 at most
 
     def least(name: np.ndarray, doc: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each name: the smallest and the largest document."""
@@ -185,24 +186,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         return name[at], np.minimum.reduceat(doc[order], at) if len(at) else doc, np.maximum.reduceat(high[order], at) if len(at) else high
 
     def unpacked(row: dict) -> tuple[np.ndarray, ...]:
-        return (np.frombuffer(row["doc"], dtype=np.int64), np.frombuffer(row["place"], dtype=np.int32), np.frombuffer(row["length"], dtype=np.int32), np.frombuffer(row["anchor"], dtype=U64), np.frombuffer(row["keys"], dtype=U64))
-
-    def full(anchor: np.ndarray, length: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """A window's name together with its symbol's."""
-        return mix(keys ^ np.repeat(anchor, length), 5)
+        return (np.frombuffer(row["doc"], dtype=np.int64), np.frombuffer(row["place"], dtype="<u4").astype(np.int64), np.frombuffer(row["length"], dtype="<u4").astype(np.int64), np.frombuffer(row["keys"], dtype=U64))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[int, list] = {}
             for r in batch.to_pylist():
-                by.setdefault(r["bucket"], []).append(unpacked(r))
-            out = {"bucket": [], "name": [], "low": [], "high": []}
-            for b, rows in by.items():
-                doc = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
-                name, low, high = least(np.concatenate([full(r[3], r[2], r[4]) for r in rows]), doc, doc)
-                for k, x in zip(out, (b, name.tobytes(), low.tobytes(), high.tobytes())):
-                    out[k].append(x)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("name", "low", "high")})
+                doc, _, length, keys = unpacked(r)
+                doc = np.repeat(doc, length)
+                name, low, high = least(keys, doc, doc)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r["bucket"]], pa.int32()), "name": pa.array([name.tobytes()], pa.binary()), "low": pa.array([low.tobytes()], pa.binary()), "high": pa.array([high.tobytes()], pa.binary())})
 
     def whole(table: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), dtype=kind)
@@ -210,32 +202,42 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         many = low < high
         return pa.table({"bucket": table["bucket"].slice(0, 1), "name": pa.array([name[many].tobytes()], pa.binary()), "low": pa.array([low[many].tobytes()], pa.binary())})
 
-    smallest = entries.select("bucket", "doc", "place", "length", "anchor", "keys").mapInArrow(partial, "bucket int, name binary, low binary, high binary").groupBy("bucket").applyInArrow(whole, "bucket int, name binary, low binary")
-    smallest = smallest.join(sizes, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("bucket", "salt", "name", "low")
-    salted = entries.join(sizes, "bucket").withColumn("salt", F.pmod(F.hash("part"), F.col("salts"))).select("bucket", "salt", "doc", "place", "length", "anchor", "keys")
-
-    def flag(own: pa.Table, mins: pa.Table) -> pa.Table:
+    def flagged(rows: list, name: np.ndarray, low: np.ndarray) -> pa.Table:
+        """Word ranges of the windows that start in a smaller document too."""
         docs, starts, stops = [], [], []
-        name, low = (np.frombuffer(b"".join(mins[c].to_pylist()), dtype=k) for c, k in (("name", U64), ("low", np.int64)))
-        for r in own.to_pylist() if len(name) else ():
-            doc, place, length, anchor, keys = unpacked(r)
-            key, doc = full(anchor, length, keys), np.repeat(doc, length)
-            place = ragged(place.astype(np.int64), length.astype(np.int64))
+        for doc, place, length, key in rows if len(name) else ():
+            doc, place = np.repeat(doc, length), ragged(place, length)
             k = np.minimum(np.searchsorted(name, key), len(name) - 1)
             f = np.flatnonzero((name[k] == key) & (low[k] < doc))
             if len(f):
                 doc, place = doc[f], place[f]
                 order = np.lexsort((place, doc))
                 doc, place = doc[order], place[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1))
-                at = np.flatnonzero(new)
+                at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)))
                 docs.append(doc[at])
                 starts.append(place[at])
                 stops.append(place[np.append(at[1:], len(place)) - 1] + window)
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
         return pa.table({"doc_id": cat(docs), "start": cat(starts), "stop": cat(stops)})
 
-    spans = salted.groupBy("bucket", "salt").cogroup(smallest.groupBy("bucket", "salt")).applyInArrow(flag, "doc_id long, start long, stop long")
+    def alone(table: pa.Table) -> pa.Table:
+        rows = [unpacked(r) for r in table.to_pylist()]
+        doc = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
+        name, low, high = least(np.concatenate([r[3] for r in rows]), doc, doc)
+        return flagged(rows, name[low < high], low[low < high])
+
+    def salted(own: pa.Table, mins: pa.Table) -> pa.Table:
+        name, low = (np.frombuffer(b"".join(mins[c].to_pylist()), dtype=k) for c, k in (("name", U64), ("low", np.int64)))
+        return flagged([unpacked(r) for r in own.to_pylist()], name, low)
+
+    kind = "doc_id long, start long, stop long"
+    plain = dealt.where("salts = 1").select("bucket", "doc", "place", "length", "keys").groupBy("bucket").applyInArrow(alone, kind)
+    # a bucket far above the others: smallest documents first, brought together from one row per batch, then every part of it against these
+    hot = dealt.where("salts > 1").select("bucket", "salts", "part", "doc", "place", "length", "keys")
+    smallest = hot.select("bucket", "doc", "place", "length", "keys").mapInArrow(partial, "bucket int, name binary, low binary, high binary").groupBy("bucket").applyInArrow(whole, "bucket int, name binary, low binary")
+    smallest = smallest.join(sizes, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("bucket", "salt", "name", "low")
+    parts = hot.withColumn("salt", F.pmod(F.hash("part"), F.col("salts"))).select("bucket", "salt", "doc", "place", "length", "keys")
+    spans = plain.unionByName(parts.groupBy("bucket", "salt").cogroup(smallest.groupBy("bucket", "salt")).applyInArrow(salted, kind))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
