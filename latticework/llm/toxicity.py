@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, slices, spans_hash
+from .kernels import U64, Words, mix, sequence_hash, slices, spans_hash
 from .samples import learnable, sample
+from .spread import checkpoint
 
 PREFIXES = (4, 5, 6)
 BLOCK = 64
@@ -35,6 +36,8 @@ NEIGHBOURS = 15
 #: Chi-square a term must reach, the examples that must hold it, and how many terms are kept at most.
 CHI, LEAST, TERMS = 30.0, 6, 4096
 _DOOR = 20
+#: Weight of the prior on the calibration's slope, in examples.
+PULL = 20.0
 
 
 def terms(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,6 +133,7 @@ class ToxicityModel:
         w = self.weight[self.toxic[ids]] / (1.05 - np.minimum(cosines, 1.0))
         mean = self.weight.mean()
         p = ((w * self.toxic[ids]).sum() + 0.05 * mean * self.base) / (w.sum() + 0.05 * mean)
+        p = min(max(p, 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
@@ -144,16 +148,16 @@ class ToxicityModel:
 
 
 def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope (kept above 0) and shift of a weighted logistic fit with a light prior at slope 1."""
+    """Slope and shift of a weighted logistic fit, drawn to slope 1 and shift 0 so that separable votes stay graded."""
     a, b = 1.0, 0.0
     w = w * len(w) / w.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         r, h = w * (p - y), w * p * (1 - p) + 1e-9
-        g = np.array([(r * x).sum() + (a - 1), r.sum() + b])
-        hess = np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]])
+        g = np.array([(r * x).sum() + PULL * (a - 1), r.sum() + b])
+        hess = np.array([[(h * x * x).sum() + PULL, (h * x).sum()], [(h * x).sum(), h.sum() + 1]])
         step = np.linalg.solve(hess, g)
-        a, b = max(0.05, a - step[0]), b - step[1]
+        a, b = float(np.clip(a - step[0], 0.2, 3.0)), float(np.clip(b - step[1], -5.0, 5.0))
     return float(a), float(b)
 
 
@@ -168,7 +172,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     if not n1 or not n0:
         return none
     chosen = sample(known.where("y = 1"), positives).unionByName(sample(known.where("y = 0"), negatives))
-    rows = base_rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"])
+    rows = base_rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text's smallest name of three words: copies and most near copies share it, other texts hardly ever."""
+        for batch in slices(batches):
+            words = Words(batch.column(2), lower=True)
+            names, at = sequence_hash(words.hashes(), words.first, 3)
+            key = mix(batch.column(0).to_numpy().view(U64), 31)  # too short for one: by its id
+            row = words.row[at]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+            if len(row):
+                key[row[first]] = np.minimum.reduceat(names, first)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "text": batch.column(2), "key": pa.array(key.view(np.int64))})
+
+    # a text copied a hundred times would make all its words look telling: one example speaks for its copies
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(with_key, "doc_id long, y int, text string, key long")
+    rows = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "y", "text"), "doc_id").alias("r")).select("r.doc_id", "r.y", "r.text")
+    rows = checkpoint(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "y", "text"))
+    sampled = dict(rows.groupBy("y").count().collect())
+    if len(sampled) < 2:
+        return none
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -184,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             names, of = np.unique(t, return_inverse=True)
             yield pa.RecordBatch.from_pydict({"t": pa.array(names.view(np.int64)), "a": pa.array(np.bincount(of, weights=y[r], minlength=len(names)).astype(np.int64)), "b": pa.array(np.bincount(of, weights=1 - y[r], minlength=len(names)).astype(np.int64))})
 
-    m1, m0 = min(n1, positives), min(n0, negatives)
+    m1, m0 = sampled[1], sampled[0]
     table = rows.mapInArrow(presence, "t long, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / F.lit(float(m1 + m0))
     chi = F.pow(F.col("a") / m1 - F.col("b") / m0, 2) / (share * (1 - share) * F.lit(1 / m1 + 1 / m0))
@@ -213,7 +238,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "t": pa.array([t[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.list_(pa.int64())), "c": pa.array([c[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(example, f"doc_id {kind}, y int, t array<bigint>, c array<bigint>").toArrow().sort_by("doc_id").to_pylist()
     toxic = np.array([g["y"] for g in got], dtype=np.int64)
     full = [i for i, g in enumerate(got) if g["t"]]
