@@ -151,34 +151,70 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
             else:
                 is_hot = np.zeros(len(own), dtype=bool)
             chosen = _leading(own, at, size[rows] - _least(size[rows], percent) + OVERLAP, is_hot)
-            parts = []
-            for pick in (chosen & ~is_hot, chosen & is_hot):
-                upto = np.append(0, np.cumsum(pick))[at]
-                parts.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(own[pick].astype(np.int64))))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(names[rows].view(np.int64)), "n": pa.array(size[rows]), "cold": parts[0], "hot": parts[1]})
-
-    leads = checkpoint(base.mapInArrow(lead, "node long, n long, cold array<bigint>, hot array<bigint>"))
-    # reach: how many of a set's n-grams precede its hot ones, where its leading ones come to these
-    either = F.concat(F.transform("cold", lambda k: F.struct(k.alias("key"), F.lit(False).alias("hot"))), F.transform("hot", lambda k: F.struct(k.alias("key"), F.lit(True).alias("hot"))))
-    entries = leads.select("node", "n", F.size("cold").alias("reach"), F.explode(either).alias("e")).groupBy("e.key", "node").agg(F.first("n").alias("n"), F.first("e.hot").alias("hot"), F.first("reach").alias("reach"))
-    columns = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "node")).alias("centre")).where("c > 1")
-    shared = checkpoint(entries.join(columns, "key"))
-
-    # columns of few sets: all products, accumulated
-    lists = shared.where(f"c <= {SQUARE}").groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("l"))
-    lists = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(l, i + 2, {SQUARE}), y -> 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")).alias("y"))
-    counted = lists.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+            owner = np.repeat(np.arange(len(rows)), size[rows])
+            cold, warm = chosen & ~is_hot, chosen & is_hot
+            node, k = names[rows], own[cold]
+            packed = list(pack_by((mix(k, 10) % U64(n_buckets)).astype(np.int64), k, node[owner[cold]], size[rows][owner[cold]].astype("<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int32()), *[pa.array([x[i] for _, x in packed], pa.binary()) for i in range(3)], *[pa.nulls(len(packed), pa.int64())] * 4], names=lead_names)
+            # hot n-grams go row by row: as many sets as there are may share one
+            reach = np.bincount(owner[cold], minlength=len(rows))
+            o = owner[warm]
+            columns = [pa.array(x.astype(np.int64)) for x in (own[warm], node[o].view(np.int64), size[rows][o], reach[o])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(o), pa.int32()), *[pa.nulls(len(o), pa.binary())] * 3, *columns], names=lead_names)
+
+    lead_names = ["bucket", "keys", "nodes", "sizes", "key", "node", "n", "reach"]
+    leads = checkpoint(base.mapInArrow(lead, "bucket int, keys binary, nodes binary, sizes binary, key long, node long, n long, reach long"))
+
+    def multiply_cold(table: pa.Table) -> pa.Table:
+        """Of a bucket's columns with two sets or more: pairs of fitting sizes with their overlap counts (kind 0), each set's number of such columns (1), and the sets of columns too long to square (2)."""
+        key, node, size = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=k) for c, k in (("keys", U64), ("nodes", np.int64), ("sizes", "<u4")))
+        order = np.lexsort((node, key))
+        key, node, size = key[order], node[order], size[order].astype(np.int64)
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        key, node, size = key[new], node[new], size[new]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.append(at, len(key)))
+        long = count > SQUARE
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for c in range(2, SQUARE + 1):
+            of = at[count == c]
+            if len(of):
+                i, j = np.triu_indices(c, 1)
+                a.append((of[:, None] + i[None, :]).ravel())
+                b.append((of[:, None] + j[None, :]).ravel())
+        a, b = np.concatenate(a), np.concatenate(b)
+        fit = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = node[a[fit]], node[b[fit]]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
+        times = np.diff(np.append(first, len(a)))
+        of = ragged(at[count > 1], count[count > 1])
+        mine, n_mine = np.unique(node[of], return_counts=True)
+        rest = ragged(at[long], count[long])
+        centre = np.repeat(node[at[long]], count[long])
+        zero = lambda m: np.zeros(m, dtype=np.int64)
+        return pa.table({
+            "kind": pa.array(np.repeat([0, 1, 2], [len(first), len(mine), len(rest)]).astype(np.int32)),
+            "a": pa.array(np.concatenate([a[first], mine, node[rest]])),
+            "b": pa.array(np.concatenate([b[first], zero(len(mine)), centre])),
+            "k": pa.array(np.concatenate([times, n_mine, size[rest]]).astype(np.int64)),
+        })
+
+    cold = checkpoint(leads.where("bucket is not null").select("bucket", "keys", "nodes", "sizes").groupBy("bucket").applyInArrow(multiply_cold, "kind int, a long, b long, k long"))
+    counted = cold.where("kind = 0").groupBy("a", "b").agg(F.sum("k").alias("k"))
     links = _verified(base, info, checkpoint(counted.where(f"k >= {OVERLAP}").select("a", "b")), n, percent)
 
     # Columns of many sets: their sets in blocks.  Two sets that meet in a hot
     # column have all their other n-grams among the leading ones, so those that
     # stand in no other set's leading ones are in no common subset; a set that
     # has too many of these links with none there.
-    known = shared.where("not hot").groupBy("node").agg(F.count(F.lit(1)).alias("_k")).withColumnRenamed("node", "_n")
-    large = shared.where(f"c > {SQUARE}").join(known, F.col("node") == F.col("_n"), "left")
-    most = F.when(F.col("hot"), F.col("n") - F.col("reach") + F.coalesce("_k", F.lit(0))).otherwise(F.col("n"))
-    large = large.withColumn("most", most).where(f"most * {100 + percent} >= {percent} * (n + ceil({percent} * n / 100))")
-    large = checkpoint(large.select("node", "n", F.col("centre.node").alias("centre")).distinct())
+    known = cold.where("kind = 1").groupBy(F.col("a").alias("_n")).agg(F.sum("k").alias("_k"))
+    entries = leads.where("bucket is null").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("reach").alias("reach"))
+    columns = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("centre")).where("c > 1")
+    hot_sets = entries.join(columns, "key").join(known, F.col("node") == F.col("_n"), "left").withColumn("most", F.col("n") - F.col("reach") + F.coalesce("_k", F.lit(0)))
+    hot_sets = hot_sets.where(f"most * {100 + percent} >= {percent} * (n + ceil({percent} * n / 100))").select("node", "n", "centre")
+    large = checkpoint(hot_sets.unionByName(cold.where("kind = 2").select(F.col("a").alias("node"), F.col("k").alias("n"), F.col("b").alias("centre"))).distinct())
     if not large.isEmpty():
         links = links.unionByName(_blocked(base, info, large, n, percent))
     joined = connected_components(links, "a", "b")
