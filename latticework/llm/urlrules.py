@@ -24,18 +24,18 @@ BROADCAST_RULES = 20_000
 BAD = "!bad"
 
 
-def host_of(url: Column) -> Column:
-    """What follows the first :// up to / ? # or the end, A-Z lower-cased; empty if there is none."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", 1))
-    rest = F.when(rest.isNotNull(), F.expr("substring(_url, instr(_url, '://') + 3)"))
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
-
-
 def with_parts(df: DataFrame, url_col: str) -> DataFrame:
-    """df with _url, host and path."""
-    df = df.withColumn("_url", F.col(url_col)).withColumn("host", host_of(F.col("_url")))
-    after = F.expr("substring(_url, instr(_url, '://') + 3 + length(host))")
-    return df.withColumn("path", F.when(F.instr("_url", "://") > 0, F.regexp_extract(after, r"^[^?#]*", 0)).otherwise(F.lit("")))
+    """df with _url, host and path.
+
+    Host: what follows the first :// up to / ? # or the end, A-Z lower-cased.
+    Path: what follows it up to ? # or the end.  Both are empty without ://.
+    """
+    df = df.withColumn("_url", F.col(url_col))
+    marked = F.coalesce(F.instr("_url", "://") > 0, F.lit(False))
+    host = F.translate(F.regexp_extract(F.expr("substring(_url, instr(_url, '://') + 3)"), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    df = df.withColumn("host", F.when(marked, host).otherwise(F.lit("")))
+    path = F.regexp_extract(F.expr("substring(_url, instr(_url, '://') + 3 + length(host))"), r"^[^?#]*", 0)
+    return df.withColumn("path", F.when(marked, path).otherwise(F.lit("")))
 
 
 def with_rule(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
