@@ -31,7 +31,7 @@ from .kernels import U64, column_bytes, mix, ragged, slices, spans_hash
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Merged pre-tokens that a worker keeps for reuse, and pairs whose rank it keeps.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 500_000
+KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
 _NONE = 1 << 40
 _classes: np.ndarray | None = None
 _coders: dict[str, "ByteBPE"] = {}

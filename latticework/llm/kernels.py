@@ -20,24 +20,23 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that the kernels take at once.
-CHUNK = 2 << 20
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+CHUNK = 1 << 20
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the base and of its inverse, modulo 2**64; both are kept for reuse."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        inverse = pow(_BASE, -1, 1 << 64)
+    """At least n powers of the base and of its inverse, modulo 2**64; one table that serves a chunk is kept, longer ones are not."""
+    size = max(n, CHUNK + 2)
+    if size > CHUNK + 2 or not _powers:
         made = []
-        for base in (_BASE, inverse):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, dtype=U64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        if size <= 2 * CHUNK:
-            _powers[size] = (made[0], made[1])
-        return made[0], made[1]
-    return _powers[size]
+        if size > CHUNK + 2:
+            return made[0], made[1]
+        _powers.append((made[0], made[1]))
+    return _powers[0]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
