@@ -1,21 +1,28 @@
-"""Stupid-backoff scores of documents under a word bigram model of the whole corpus.
+"""Stupid-backoff scores of documents under a word trigram model of the whole corpus.
 
-Three relations, each partitioned by hash and pre-aggregated per batch before it
-is shuffled: word counts, bigram counts, and the documents' own n-grams, which
-meet the bigram table bucket by bucket and are summed per document.
+Two relations, each partitioned by hash and pre-aggregated per batch before it
+is shuffled: the counts of all words, pairs and triples, and the documents' own
+ones, which meet the count table bucket by bucket and are summed per document.
 
-The vocabulary is every word with a count of at least T, the smallest T that
-leaves no more than WORDS words; all others are one unknown word.  A bigram seen
-fewer than KEEP times is not in the table, so its second word backs off to
-BACKOFF times its share of all words:
+No count is cut and no word is pooled.  With c the counts and N all words:
 
-    S(b | a) = count(a b) / count(a)   if count(a b) >= KEEP
-             = BACKOFF * count(b) / N  else;     S(first) = count(first) / N
+    S(w | u v) = c(u v w) / c(u v)   if c(u v w) > 0, else BACKOFF * S(w | v)
+    S(w | v)   = c(v w) / c(v)       if c(v w) > 0, else BACKOFF * c(w) / N
 
-The word table is broadcast (WORDS rows at most), and so are the table's HEAD
-most frequent bigrams and a filter of fixed size of all its bigrams.  What the
-head holds or the filter rules out is scored at once; everything else is joined
-with the table itself, so results don't depend on head and filter.
+The first word of a text has c(w) / N, the second S(w | v).  The documents are
+those that were counted, so each of their n-grams has a count and none backs
+off: a score is a sum of signed log counts.  N-grams seen once have log count 0,
+so only the others need to meet the table.
+
+Broadcast are the table's HEAD most frequent n-grams and a filter of fixed size
+of its n-grams seen twice or more.  What the head holds or the filter rules out
+is scored at once; everything else is joined with the table itself, so results
+don't depend on head and filter.
+
+With `words` given, score() uses a bigram model over a closed vocabulary: every
+word with a count of at least T, the smallest T that leaves no more than `words`
+words (65,535 at most); all others are one unknown word, and a bigram seen fewer
+than `keep` times backs off.  No query uses it.
 
 Defined cases: a text without words has 0 words, log_score 0 and no mean; rows of
 one id count as one document; a null id is a document of its own; extra columns
@@ -31,20 +38,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, mix, pack_by, slices
+from .kernels import U64, Words, mix, pack_by, sequence_hash, slices
 from .spread import buckets, checkpoint, hit, slot_filter
 
 WORDS, KEEP, BACKOFF = 65_535, 2, 0.4
-#: The table's most frequent bigrams that are broadcast, 8 bytes each.
+#: The table's most frequent n-grams that are broadcast, 12 bytes each at most.
 HEAD = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
+def _coded(blob: bytes) -> bytes:
+    """64-bit numbers as differences, byte by byte: where they are close, the shuffle's compression drops the upper bytes."""
+    x = np.frombuffer(blob, dtype=U64)
+    return np.diff(x, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _decoded(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
 class _Batches:
     """Packs (bucket, columns) of many slices and yields rows when enough have come together."""
 
-    def __init__(self, names: list[str], most: int = 1 << 20):
-        self.names, self.most, self.parts, self.n = names, most, [], 0
+    def __init__(self, names: list[str], most: int = 1 << 20, coded: str = ""):
+        self.names, self.most, self.coded, self.parts, self.n = names, most, coded, [], 0
 
     def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((bucket, *columns))
@@ -56,7 +73,7 @@ class _Batches:
         if self.n:
             bucket, *columns = (np.concatenate(c) for c in zip(*self.parts))
             packed = list(pack_by(bucket, *columns))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([x[k] for _, x in packed], pa.binary()) for k, name in enumerate(self.names)})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([_coded(x[k]) if name == self.coded else x[k] for _, x in packed], pa.binary()) for k, name in enumerate(self.names)})
         self.parts, self.n = [], 0
 
 
@@ -121,8 +138,8 @@ def vocabulary(docs: DataFrame, text_col: str, n_buckets: int, most: int = WORDS
     return Vocabulary(kept["name"].to_numpy().view(U64), kept["n"].to_numpy(), int(tokens))
 
 
-def _head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table's most frequent bigrams, at most `most`, and their counts: work that batches can do at once."""
+def _head(table: DataFrame, most: int, kind: type | str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The table's most frequent n-grams, at most `most`, and their counts: work that batches can do at once."""
 
     def of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,16 +159,151 @@ def _head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = np.frombuffer(counts, dtype=np.int64)
                 pick = n >= least
-                yield pa.RecordBatch.from_pydict({"names": pa.array([np.frombuffer(names, dtype="<u4")[pick].tobytes()], pa.binary()), "counts": pa.array([n[pick].astype("<u4").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"names": pa.array([np.frombuffer(names, dtype=kind)[pick].tobytes()], pa.binary()), "counts": pa.array([n[pick].astype("<u4").tobytes()], pa.binary())})
 
     got = table.select("names", "counts").mapInArrow(top, "names binary, counts binary").toArrow()
-    names, n = _joined(got, "names", "<u4"), _joined(got, "counts", "<u4")
+    names, n = _joined(got, "names", kind), _joined(got, "counts", "<u4")
     order = np.argsort(names)
     return names[order], n[order]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: int = KEEP, backoff: float = BACKOFF) -> DataFrame:
+def _grams(column: pa.Array, long: bool) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the names of all triples (`long`) or of all words and pairs, their rows, and how often the row's score takes their log count.
+
+    Each word takes its n-gram once and the n-gram's context, which is one word
+    shorter, minus once: pairs inside a text are contexts only, and the first
+    word's and the first pair's own counts cancel where a text goes on.
+    """
+    words = Words(column)
+    one, row = words.hashes(), words.row
+    if long:
+        three, at = sequence_hash(one, words.first, 3, 3)
+        return words, three, row[at], np.ones(len(three), dtype=np.int8)
+    two, at = sequence_hash(one, words.first, 2, 2)
+    pair = row[at]
+    inside = (at == words.first[pair]).astype(np.int8) - (at + 2 < words.first[pair + 1]).astype(np.int8)
+    return words, np.concatenate([one, two]), np.concatenate([row, pair]), np.concatenate([(words.counts == 1)[row].astype(np.int8), inside])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    doc, of = np.unique(_joined(table, "docs", np.int64), return_inverse=True)
+    n = np.bincount(of, weights=_joined(table, "n", "<u4"), minlength=len(doc)).astype(np.int64)
+    value = np.bincount(of, weights=_joined(table, "value", np.float64), minlength=len(doc))
+    mean = value / np.maximum(n, 1)
+    return pa.table({"doc_id": pa.array(doc, mask=doc == _NULL_ID), "n_words": pa.array(n), "log_score": pa.array(value), "mean_log_score": pa.array(mean, mask=n == 0)})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, keep: int = KEEP, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words) and mean_log_score of each document."""
+    if words is not None:
+        return _closed_score(docs, id_col, text_col, words, keep, backoff)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n_buckets = buckets(base, 4 << 20)
+    # words with pairs, then triples: each order's shuffles are gone before the next one's
+    short, long = (checkpoint(_share(base, n_buckets, k)) for k in (False, True))
+    return short.unionByName(long).groupBy("bucket").applyInArrow(_by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
+
+
+def _share(base: DataFrame, n_buckets: int, long: bool) -> DataFrame:
+    """What the triples (`long`), or the words and pairs, add to the documents' scores, packed by hash of the document; with the latter come the numbers of words."""
+
+    def place(names: np.ndarray) -> np.ndarray:
+        return ((names >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial counts by bucket; bucket -1 has the number of words."""
+        parts, held, total = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, n = _summed(*(np.concatenate(c) for c in zip(*parts)))
+            out = _Batches(["names", "counts"], 1, "names")
+            return out.add(place(names), names, n.astype("<u4"))
+
+        for batch in slices(batches):
+            w, names, _, _ = _grams(batch.column(0), long)
+            total += len(w.starts)
+            parts.append(np.unique(names, return_counts=True))
+            held += len(parts[-1][0])
+            if held >= 1 << 21:
+                yield from flush()
+                parts, held = [], 0
+        if held:
+            yield from flush()
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "names": pa.array([bytes(8)], pa.binary()), "counts": pa.array([np.array([total], dtype="<u4").tobytes()], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        """The counts of a bucket; those of 1 are known without a table."""
+        names, n = _summed(np.concatenate([_decoded(x) for x in table["names"].to_pylist()]), _joined(table, "counts", "<u4"))
+        more = (n >= 2) | (table["bucket"][0].as_py() < 0)
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "names": pa.array([names[more].tobytes()], pa.binary()), "counts": pa.array([n[more].tobytes()], pa.binary())})
+
+    counted = checkpoint(base.select("text").mapInArrow(count, "bucket int, names binary, counts binary").groupBy("bucket").applyInArrow(summed, "bucket int, names binary, counts binary"))
+    base.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle's files once its plan is collected
+    total = sum(int(np.frombuffer(r["counts"], dtype=np.int64).sum()) for r in counted.where("bucket = -1").collect())
+    log_total = 0.0 if long else float(np.log(max(total, 1)))
+    table = counted.where("bucket >= 0")
+
+    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"name": pa.array(mix(np.frombuffer(blob, dtype=U64), 22).view(np.int64))})
+
+    known = slot_filter(table.select("names").mapInArrow(names_of, "name long"))
+    head = base.sparkSession.sparkContext.broadcast(_head(table, HEAD, U64))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents' n-grams that may be in the table beyond its head, by the table's buckets; the rest is summed here (buckets below 0)."""
+        out = _Batches(["names", "counts", "docs"], coded="docs")
+        for batch in slices(batches):
+            top, top_n = head.value
+            w, names, row, takes = _grams(batch.column(1), long)
+            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
+            at = np.flatnonzero((takes != 0) & hit(known.value, mix(names, 22)))
+            sums = np.where(w.counts > 0, -log_total, 0.0)
+            if len(top):
+                k = np.minimum(np.searchsorted(top, names[at]), len(top) - 1)
+                there = top[k] == names[at]
+                sums = sums + np.bincount(row[at[there]], weights=takes[at[there]] * np.log(top_n[k[there]]), minlength=batch.num_rows)
+                at = at[~there]
+            at = at[np.argsort(row[at], kind="stable")]
+            n = w.counts.astype("<u4") * np.uint32(not long)
+            spread = -1 - int(mix(ids[:1].view(U64), 24)[0] % U64(n_buckets))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([spread], pa.int32()), "names": pa.array([sums.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "docs": pa.array([_coded(ids.tobytes())], pa.binary())})
+            yield from out.add(place(names[at]), names[at], takes[at], ids[row[at]])
+        yield from out.flush()
+
+    pieces = base.mapInArrow(explode, "bucket int, names binary, counts binary, docs binary").withColumn("piece", F.lit(1))
+    tables = table.select("bucket", "names", "counts", F.lit(b"").alias("docs"), F.lit(0).alias("piece"))
+    # a bucket's table comes first and its pieces pass by it one by one, so they are never gathered
+    met = tables.unionByName(pieces).repartition("bucket").sortWithinPartitions("bucket", "piece")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batches(["docs", "n", "value"])
+        held, own, logs = None, np.zeros(0, dtype=U64), np.zeros(0)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if not r["piece"]:
+                    held, own, logs = r["bucket"], np.frombuffer(r["names"], dtype=U64), np.log(np.frombuffer(r["counts"], dtype=np.int64))
+                    continue
+                doc = _decoded(r["docs"]).view(np.int64)
+                if r["bucket"] < 0:
+                    n, value = np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["names"], dtype=np.float64)
+                elif r["bucket"] == held and len(own):
+                    names = np.frombuffer(r["names"], dtype=U64)
+                    i = np.minimum(np.searchsorted(own, names), len(own) - 1)
+                    value = np.where(own[i] == names, logs[i], 0.0) * np.frombuffer(r["counts"], dtype=np.int8)
+                    doc, of = np.unique(doc, return_inverse=True)
+                    n, value = np.zeros(len(doc), dtype="<u4"), np.bincount(of, weights=value, minlength=len(doc))
+                else:
+                    continue
+                yield from out.add((mix(doc.view(U64), 23) % U64(n_buckets)).astype(np.int64), doc, n, value)
+        yield from out.flush()
+
+    return met.mapInArrow(sums, "bucket int, docs binary, n binary, value binary")
+
+
+def _closed_score(docs: DataFrame, id_col: str, text_col: str, words: int, keep: int, backoff: float) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_buckets = buckets(base)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(base, "text", n_buckets, words))
@@ -235,12 +387,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         packed = list(pack_by((mix(doc.view(U64), 23) % U64(n_buckets)).astype(np.int64), doc, n, value))
         return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([x[k] for _, x in packed], pa.binary()) for k, name in enumerate(("docs", "n", "value"))})
 
-    def by_document(table: pa.Table) -> pa.Table:
-        doc, of = np.unique(_joined(table, "docs", np.int64), return_inverse=True)
-        n = np.bincount(of, weights=_joined(table, "n", "<u4"), minlength=len(doc)).astype(np.int64)
-        value = np.bincount(of, weights=_joined(table, "value", np.float64), minlength=len(doc))
-        mean = value / np.maximum(n, 1)
-        return pa.table({"doc_id": pa.array(doc, mask=doc == _NULL_ID), "n_words": pa.array(n), "log_score": pa.array(value), "mean_log_score": pa.array(mean, mask=n == 0)})
-
     every = met.mapInArrow(sums, "bucket int, docs binary, n binary, value binary")
-    return every.groupBy("bucket").applyInArrow(by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return every.groupBy("bucket").applyInArrow(_by_document, "doc_id long, n_words long, log_score double, mean_log_score double")

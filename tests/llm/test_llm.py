@@ -101,6 +101,36 @@ def test_lm(spark, docs, odd, empty, monkeypatch, most, head):
     assert lm.score(empty).count() == 0
 
 
+def brute_trigrams(rows, backoff=0.4):
+    texts = [(i, words(t)) for i, t in rows]
+    c = [Counter(tuple(t[k : k + n]) for _, t in texts for k in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    total = sum(c[0].values())
+
+    def s(gram):
+        if len(gram) == 1:
+            return c[0][gram] / total
+        seen = c[len(gram) - 1][gram]
+        return seen / c[len(gram) - 2][gram[:-1]] if seen else backoff * s(gram[1:])
+
+    out = {}
+    for i, t in texts:
+        n, v = out.get(i, (0, 0.0))
+        out[i] = (n + len(t), v + sum(math.log(s(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t))))
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 20, 5])
+def test_lm_counts_every_ngram(spark, docs, odd, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    # more words than a closed vocabulary would hold, each twice; texts of one word and of two
+    many = " ".join(f"w{k}" for k in range(70_000))
+    wide = spark.createDataFrame([(1, many), (2, many + " w3 w3"), (3, "w69999"), (4, "once"), (5, "w3 w4"), (6, "w3 w3")], "doc_id long, text string")
+    for df in (docs, odd, wide):
+        want = brute_trigrams([(r.doc_id, r.text) for r in df.collect()])
+        got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score(df).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 * max(1, got[k][0]) for k in want)
+
+
 # op2
 
 
