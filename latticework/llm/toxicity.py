@@ -1,15 +1,16 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words and their prefixes.  From a bounded, stratified
-sample of labelled rows the fit keeps the terms whose presence depends on the
-label beyond chance; their document frequencies come from one pass over all
-documents.  The examples' vectors form an inverted index in blocks with each
-term's largest weight per block: a query visits blocks in the order of their
-upper bounds and stops when no further block can hold a nearer example, so the
+Terms are lower-cased words and their prefixes: all that occur in a bounded,
+stratified sample of labelled rows, the examples.  Their document frequencies
+come from one pass over all documents.  A term's weight is TF-IDF, times 1 +
+chi-square / CHI of its presence against the label: telling terms weigh more,
+and none is left out.  The examples' vectors form an inverted index in blocks
+with each term's largest weight per block: blocks whose upper bound can't reach
+the k-th nearest of the most promising ones are not visited, so the
 neighbours are exact.  Votes are weighted by distance, corrected for the
 sample's strata and calibrated on the examples themselves, each left out in turn.
 
-Defined cases: null, empty and term-free texts have an empty vector, whose score
+Defined cases: null, empty and term-free texts (no term in common with any example) have an empty vector, whose score
 is the rate of toxic labels among examples with empty vectors; equal texts get
 equal scores and evidence (ties: smaller example number); rows are independent;
 without labels of both kinds every score is the base rate, or 0; extra columns
@@ -26,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, mix, sequence_hash, slices, spans_hash
+from .kernels import U64, Words, mix, pack_by, ragged, sequence_hash, slices, spans_hash
 from .samples import learnable, sample
 from .spread import checkpoint
 
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 15
-#: Chi-square a term must reach, the examples that must hold it, and how many terms are kept at most.
-CHI, LEAST, TERMS = 30.0, 6, 4096
-_DOOR = 20
+#: Chi-square at which a term's weight is doubled.
+CHI = 30.0
+_DOOR = 22
+#: Document frequencies are summed in parts of 2**_PART terms.
+_PART = 13
 #: Weight of the prior on the calibration's slope, in examples.
 PULL = 20.0
 
@@ -81,34 +84,51 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         # similar examples share blocks: by their heaviest terms
         order = sorted(range(len(vectors)), key=lambda i: (*vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), i))
-        self.members, self.postings = [], []
-        self.most = np.zeros((-(-len(order) // BLOCK), width))
-        for b in range(0, len(order), BLOCK):
-            members = np.array(order[b : b + BLOCK])
-            own = np.unique(np.concatenate([vectors[i][0] for i in members]))
-            weights = np.zeros((len(own), len(members)))
-            for c, i in enumerate(members):
-                weights[np.searchsorted(own, vectors[i][0]), c] = vectors[i][1]
-            self.members.append(members)
-            self.postings.append((own, weights))
-            self.most[b // BLOCK, own] = weights.max(axis=1)
+        self.members = np.array(order, dtype=np.int64)
+        lengths = np.array([len(vectors[i][0]) for i in order], dtype=np.int64)
+        term, weight = (np.concatenate([vectors[i][c] for i in order]) if order else np.zeros(0) for c in (0, 1))
+        place = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
+        by = np.argsort(term, kind="stable")
+        # postings by term, then by place, so a term's postings in a block are together
+        self.place, self.weight = place[by], weight[by]
+        cell = term[by].astype(np.int64) * (1 << 31) + self.place // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, dtype=np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.block = (self.place[first] // BLOCK).astype(np.int32)
+        self.begin = np.append(first, len(cell))
+        self.cells = np.searchsorted(term[by][first], np.arange(width + 1))
+
+    def _sum(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines by place, from the postings of these cells."""
+        n = self.begin[cells + 1] - self.begin[cells]
+        at = ragged(self.begin[cells], n)
+        return np.round(np.bincount(self.place[at], weights=self.weight[at] * np.repeat(weights, n), minlength=len(self.members)), 12)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties: smaller number) and their cosines; those with none in common aren't near."""
-        bound = self.most[:, terms] @ weights
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(scores) >= k and bound[b] < scores[-1] - 1e-9):
-                break
-            own, table = self.postings[b]
-            at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-            hit = own[at] == terms
-            s = np.round(weights[hit] @ table[at[hit]], 12)
-            good = (s > 0) & (self.members[b] != skip)
-            ids, scores = np.append(ids, self.members[b][good]), np.append(scores, s[good])
-            keep = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[keep], scores[keep]
-        return ids, scores
+        n = self.cells[terms + 1] - self.cells[terms]
+        cells, weights = ragged(self.cells[terms], n), np.repeat(weights, n)
+        block = self.block[cells]
+        bound = np.bincount(block, weights=weights * self.most[cells], minlength=-(-len(self.members) // BLOCK))
+        # the best blocks first, for a cosine that the others must reach
+        tried = np.zeros(len(bound), dtype=bool)
+        tried[np.argsort(-bound, kind="stable")[: 1 + k // 4]] = True
+        now = tried[block]
+        s = self._sum(cells[now], weights[now])
+        if skip >= 0:
+            s[self.members == skip] = 0
+        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
+        more = ~tried & (bound > 0) & (bound >= least - 1e-9)
+        if more.any():
+            now = more[block]
+            s = s + self._sum(cells[now], weights[now])
+            if skip >= 0:
+                s[self.members == skip] = 0
+        found = np.flatnonzero(s > 0)
+        if len(found) > k:
+            found = found[s[found] >= np.partition(s[found], len(found) - k)[len(found) - k]]
+        keep = found[np.lexsort((self.members[found], -s[found]))[:k]]
+        return self.members[keep], s[keep]
 
 
 @dataclass
@@ -161,6 +181,22 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _frequencies(texts: DataFrame, count, width: int) -> tuple[np.ndarray, int]:
+    """The document frequencies of `width` terms and the number of documents, from each task's packed counts."""
+
+    def summed(table: pa.Table) -> pa.Table:
+        k, n = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=kind) for c, kind in (("k", "<u4"), ("n", "<i8")))
+        k, of = np.unique(k, return_inverse=True)
+        n = np.bincount(of, weights=n, minlength=len(k)).astype(np.int64)
+        return pa.table({"k": pa.array([k.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "rows": pa.array([sum(table["rows"].to_pylist())], pa.int64())})
+
+    got = texts.mapInArrow(count, "part int, k binary, n binary, rows long").groupBy("part").applyInArrow(summed, "k binary, n binary, rows long").toArrow()
+    df = np.zeros(width, dtype=np.int64)
+    for k, n in zip(got["k"].to_pylist(), got["n"].to_pylist()):
+        df[np.frombuffer(k, dtype="<u4")] = np.frombuffer(n, dtype=np.int64)
+    return df, sum(got["rows"].to_pylist())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", positives: int = 1500, negatives: int = 3000) -> ToxicityModel:
     """Fit on at most `positives` and `negatives` labelled rows that aren't held out; document frequencies are those of all docs."""
     base_rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -212,9 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     m1, m0 = sampled[1], sampled[0]
     table = rows.mapInArrow(presence, "t long, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / F.lit(float(m1 + m0))
-    chi = F.pow(F.col("a") / m1 - F.col("b") / m0, 2) / (share * (1 - share) * F.lit(1 / m1 + 1 / m0))
-    kept = table.where((F.col("a") + F.col("b") >= LEAST) & (share < 1)).withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "t").limit(TERMS).select("t").toArrow()
-    vocabulary = Vocabulary(kept["t"].to_numpy().view(U64))
+    chi = F.try_divide(F.pow(F.col("a") / m1 - F.col("b") / m0, 2), share * (1 - share) * F.lit(1 / m1 + 1 / m0))
+    every = table.select("t", F.coalesce(chi, F.lit(0.0)).alias("chi")).toArrow()
+    names = every["t"].to_numpy().view(U64)
+    vocabulary = Vocabulary(names)
+    telling = 1 + every["chi"].to_numpy()[np.argsort(names)] / CHI
     width = len(vocabulary.names)
     if not width:
         return none
@@ -226,19 +264,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             _, t, _ = sent.value.counts(batch.column(0))
             total += np.bincount(t, minlength=width)
             n += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"k": pa.array(np.append(np.arange(width), -1)), "n": pa.array(np.append(total, n))})
-
-    df = dict(base_rows.select("text").mapInArrow(frequency, "k long, n long").groupBy("k").agg(F.sum("n")).collect())
-    n_docs = df.pop(-1, 0)
-    idf = np.log((1 + n_docs) / (1 + np.array([df.get(k, 0) for k in range(width)]))) + 1
+        k = np.flatnonzero(total)
+        packed = [(-1, [b"", b""], n), *((b, x, 0) for b, x in pack_by(k >> _PART, k.astype("<u4"), total[k]))]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([b for b, _, _ in packed], pa.int32()), "k": pa.array([x[0] for _, x, _ in packed], pa.binary()), "n": pa.array([x[1] for _, x, _ in packed], pa.binary()), "rows": pa.array([m for _, _, m in packed], pa.int64())})
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             r, t, c = sent.value.counts(batch.column(2))
             cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "t": pa.array([t[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.list_(pa.int64())), "c": pa.array([c[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "t": pa.array([t[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), "c": pa.array([c[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
 
-    got = rows.mapInArrow(example, f"doc_id {kind}, y int, t array<bigint>, c array<bigint>").toArrow().sort_by("doc_id").to_pylist()
+    df, n_docs = _frequencies(base_rows.select("text"), frequency, width)
+    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * telling
+    got = rows.mapInArrow(example, f"doc_id {kind}, y int, t binary, c binary").toArrow().sort_by("doc_id").to_pylist()
     toxic = np.array([g["y"] for g in got], dtype=np.int64)
     full = [i for i, g in enumerate(got) if g["t"]]
     weight = np.array([n0 / max(1, (toxic == 0).sum()), n1 / max(1, (toxic == 1).sum())])
@@ -246,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     bare = np.array([not g["t"] for g in got])
     w = weight[toxic]
     model.empty = float(((w * toxic)[bare].sum() + 0.01 * rate) / (w[bare].sum() + 0.01)) if bare.any() else rate
-    vectors = [model.vector(np.array(got[i]["t"]), np.array(got[i]["c"])) for i in full]
+    vectors = [model.vector(*(np.frombuffer(got[i][x], dtype=np.int64) for x in "tc")) for i in full]
     model.index = BlockMaxIndex(vectors, width) if vectors else None
     x, y, ws = [], [], []
     for k, v in enumerate(vectors):

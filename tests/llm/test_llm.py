@@ -250,6 +250,23 @@ def test_toxicity_held_out(spark):
     assert all(0 <= g.score <= 1 for g in got)
 
 
+def test_toxicity_rare_words(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(r.choice(["green", "house", "river", "stone", "cloud"]) for _ in range(20))) for k in range(300)]
+    # each toxic text has words of its own, so no word of theirs depends on the label beyond chance
+    rows += [(1000 + k, " ".join(f"{chr(97 + k)}{chr(97 + j)}zq" for j in range(12))) for k in range(20)]
+    copies = [(2000 + k, rows[300 + k][1]) for k in range(20)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    learned = {x.doc_id for x in samples.learnable(lab, "toxic").collect()}
+    got = {x.doc_id: x for x in toxicity.score(df, toxicity.fit(df, lab)).collect()}
+    for k in range(20):
+        if 1000 + k in learned:
+            e = got[2000 + k].evidence
+            assert (e[0].doc_id, round(e[0].cosine, 9), e[0].toxic) == (1000 + k, 1.0, 1) and got[2000 + k].score >= 0.3
+    assert all(got[k].evidence and got[k].score < 0.3 for k in range(300))
+
+
 def test_classifier_edges(spark, odd, empty, docs, labels):
     bare = labels.limit(0)
     for df in (odd, empty):
