@@ -203,3 +203,18 @@ def test_library(spark, tmp_path):
     (tmp_path / "z.txt").write_bytes(png)
     got = {r.path[-5:]: (r.status, r.width, r.height) for r in Y.scan_images(spark, str(tmp_path)).collect()}
     assert got == {"x.PNG": ("ok", 3, 5), "y.jpg": ("corrupt", None, None)}
+
+
+def test_shared_part_components_of_all_parts(spark, tmp_path):
+    from latticework.plans.catalogue import QUERIES
+
+    r = random.Random(6)
+    rows = sorted({(r.randrange(60), 16 * r.randrange(40) + r.randrange(1, 16)) for _ in range(70)})
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = {s: s for s, _ in rows}
+    links = [(a, b) for a, p in rows for b, q in rows if p == q and a != b]
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {a: root[a] for a, _ in links}
+    assert want and {x.node: x.component for x in QUERIES["shared_part_components"](spark, str(tmp_path)).collect()} == want
