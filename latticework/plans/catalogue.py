@@ -230,7 +230,7 @@ def box_merge_groups(spark, d):
 
 @query
 def box_pair_geometry(spark, d):
-    b = boxes(spark, d).where("sheet < 8")
+    b = boxes(spark, d)
     p = b.select("sheet", *[F.col(k).alias(f"a_{k}") for k in ("id", "x", "y", "w", "h")]).join(b.select("sheet", *[F.col(k).alias(f"b_{k}") for k in ("id", "x", "y", "w", "h")]), "sheet").where("a_id < b_id")
     return p.select("sheet", F.col("a_id").alias("a"), F.col("b_id").alias("b"), B.gap("a_", "b_").cast("long").alias("gap"), S.round6(B.iou("a_", "b_")).alias("iou"), B.intersects("a_", "b_").alias("meets"))
 

@@ -218,3 +218,21 @@ def test_shared_part_components_of_all_parts(spark, tmp_path):
             root[a] = root[b] = min(root[a], root[b])
     want = {a: root[a] for a, _ in links}
     assert want and {x.node: x.component for x in QUERIES["shared_part_components"](spark, str(tmp_path)).collect()} == want
+
+
+def test_box_pair_geometry_of_all_sheets(spark, tmp_path):
+    from latticework.plans.catalogue import QUERIES, boxes
+
+    r = random.Random(8)
+    rows = [(r.choice([3, 8, 300, 511]), k, r.randrange(1, 900), r.randrange(1, 90), r.randrange(1, 51)) for k in range(40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    b = boxes(spark, str(tmp_path)).collect()
+    want = {}
+    for p in b:
+        for q in b:
+            if p.sheet == q.sheet and p.id < q.id:
+                gap = max(p.x - q.x - q.w, q.x - p.x - p.w, p.y - q.y - q.h, q.y - p.y - p.h, 0)
+                i = max(0, min(p.x + p.w, q.x + q.w) - max(p.x, q.x)) * max(0, min(p.y + p.h, q.y + q.h) - max(p.y, q.y))
+                want[p.sheet, p.id, q.id] = (gap, round(i / (p.w * p.h + q.w * q.h - i), 6), i > 0)
+    got = {(x.sheet, x.a, x.b): (x.gap, x.iou, x.meets) for x in QUERIES["box_pair_geometry"](spark, str(tmp_path)).collect()}
+    assert {s for s, _, _ in want} == {3, 8, 300, 511} and got == want
