@@ -342,7 +342,7 @@ def manifest_rows(spark, d):
 
 @query
 def csv_quote(spark, d):
-    return t(spark, d, "pages").select("page_id", S.csv_field(F.substring("html", 1, 4000)).alias("field"))
+    return t(spark, d, "pages").select("page_id", S.csv_field(F.col("html")).alias("field"))
 
 
 @query

@@ -236,3 +236,13 @@ def test_box_pair_geometry_of_all_sheets(spark, tmp_path):
                 want[p.sheet, p.id, q.id] = (gap, round(i / (p.w * p.h + q.w * q.h - i), 6), i > 0)
     got = {(x.sheet, x.a, x.b): (x.gap, x.iou, x.meets) for x in QUERIES["box_pair_geometry"](spark, str(tmp_path)).collect()}
     assert {s for s, _, _ in want} == {3, 8, 300, 511} and got == want
+
+
+def test_csv_quote_of_whole_pages(spark, tmp_path):
+    from latticework.plans.catalogue import QUERIES
+
+    long = "a" * 5000
+    rows = [(1, long), (2, long + ',"b'), (3, long + "\n"), (4, "x")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x.page_id: x.field for x in QUERIES["csv_quote"](spark, str(tmp_path)).collect()}
+    assert got == {1: long, 2: f'"{long},""b"', 3: f'"{long}\n"', 4: "x"}
