@@ -1,32 +1,29 @@
 """Stupid-backoff scores of documents under a word trigram model of the whole corpus.
 
-Two relations, each partitioned by hash and pre-aggregated per batch before it
-is shuffled: the counts of all words, pairs and triples, and the documents' own
-ones, which meet the count table bucket by bucket and are summed per document.
-
-No count is cut and no word is pooled.  With c the counts and N all words:
+The documents are packed into chunks.  Each chunk asks for the counts of its
+distinct words, pairs and triples: the requests are dealt by n-gram hash into
+buckets, a bucket sums the counts of all its requests into its part of the count
+table and joins them back, and the answers meet their chunk again, where each
+document's n-grams are scored and summed.  A request holds an n-gram once, with
+its count in the chunk, so an n-gram that stands in every document costs one
+entry a chunk; nothing is broadcast, cut or pooled.  Words with pairs and
+triples go in two rounds, the first's shuffle being gone before the second's.
+
+With c the counts, less what the scored document itself adds where `leave_out`
+is set, and N all counted words:
 
     S(w | u v) = c(u v w) / c(u v)   if c(u v w) > 0, else BACKOFF * S(w | v)
-    S(w | v)   = c(v w) / c(v)       if c(v w) > 0, else BACKOFF * c(w) / N
-
-The first word of a text has c(w) / N, the second S(w | v).  The documents are
-those that were counted, so each of their n-grams has a count and none backs
-off: a score is a sum of signed log counts.  N-grams seen once have log count 0,
-so only the others need to meet the table.
-
-Broadcast are the table's HEAD most frequent n-grams and a filter of fixed size
-of its n-grams seen twice or more.  What the head holds or the filter rules out
-is scored at once; everything else is joined with the table itself, so results
-don't depend on head and filter.
-
-With `words` given, score() uses a bigram model over a closed vocabulary: every
-word with a count of at least T, the smallest T that leaves no more than `words`
-words (65,535 at most); all others are one unknown word, and a bigram seen fewer
-than `keep` times backs off.  No query uses it.
-
-Defined cases: a text without words has 0 words, log_score 0 and no mean; rows of
-one id count as one document; a null id is a document of its own; extra columns
-aren't read; an empty table gives an empty result.
+    S(w | v)   = c(v w) / c(v)       if c(v w) > 0, else BACKOFF * S(w)
+    S(w)       = c(w) / N            if c(w) > 0, else BACKOFF / N
+
+The first word of a text has S(w), the second S(w | v).  Left out, a text isn't
+its own evidence: what nothing else in the corpus resembles scores low, and what
+occurs twice scores near 0 a word.  With its own counts no n-gram backs off.
+
+Defined cases: each row is a document, those of a repeated or null id too; a text
+without words (null, empty, white space) has 0 words, scores 0 and no mean; the
+id may have any type; extra columns aren't read; an empty table gives an empty
+result; with nothing but the document itself in the corpus N counts as 1.
 """
 
 from __future__ import annotations
@@ -35,357 +32,158 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, mix, pack_by, sequence_hash, slices
-from .spread import buckets, checkpoint, hit, slot_filter
+from .kernels import U64, Words, sequence_hash, slices
+from .spread import buckets, checkpoint
 
-WORDS, KEEP, BACKOFF = 65_535, 2, 0.4
-#: The table's most frequent n-grams that are broadcast, 12 bytes each at most.
-HEAD = 1 << 20
-_NULL_ID = np.iinfo(np.int64).min
+BACKOFF = 0.4
+#: Bytes of text in a chunk, unless one text is longer; what a worker holds is about 40 times as much.
+CHUNK = 8 << 20
 
 
-def _coded(blob: bytes) -> bytes:
-    """64-bit numbers as differences, byte by byte: where they are close, the shuffle's compression drops the upper bytes."""
-    x = np.frombuffer(blob, dtype=U64)
-    return np.diff(x, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def _coded(x: np.ndarray) -> bytes:
+    """Whole numbers of 8 bytes, byte plane by byte plane: where they are small or close, most planes compress away."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _decoded(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
-
-
-class _Batches:
-    """Packs (bucket, columns) of many slices and yields rows when enough have come together."""
-
-    def __init__(self, names: list[str], most: int = 1 << 20, coded: str = ""):
-        self.names, self.most, self.coded, self.parts, self.n = names, most, coded, [], 0
-
-    def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((bucket, *columns))
-        self.n += len(bucket)
-        if self.n >= self.most:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            bucket, *columns = (np.concatenate(c) for c in zip(*self.parts))
-            packed = list(pack_by(bucket, *columns))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([_coded(x[k]) if name == self.coded else x[k] for _, x in packed], pa.binary()) for k, name in enumerate(self.names)})
-        self.parts, self.n = [], 0
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, of = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
-
-
-def _joined(table: pa.Table, name: str, kind: type | str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
-
-
-class Vocabulary:
-    """Sorted word names with their counts; the last number stands for every other word."""
-
-    def __init__(self, names: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(names)
-        self.names, self.total = names[order], total
-        self.counts = np.append(counts[order], max(total - int(counts.sum()), 0))
-        self.log_count = np.log(np.maximum(self.counts, 1))
-        self.log_share = self.log_count - np.log(max(total, 1))
-
-    def numbers(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.names):
-            return np.zeros(len(names), dtype=np.int64)
-        k = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[k] == names, k, len(self.names))
-
-    def bigrams(self, column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, their numbers, and the bigrams (two 16-bit numbers) that end at each word but the first of a text, with the word's place."""
-        words = Words(column)
-        number = np.concatenate([self.numbers(h) for h in np.array_split(words.hashes(), max(1, len(words.starts) >> 16))]) if len(words.starts) else np.zeros(0, dtype=np.int64)
-        later = np.ones(len(number), dtype=bool)
-        later[words.first[:-1][words.counts > 0]] = False
-        at = np.flatnonzero(later)
-        return words, number, (number[at - 1].astype(np.uint32) << np.uint32(16)) | number[at].astype(np.uint32), at
-
-
-def vocabulary(docs: DataFrame, text_col: str, n_buckets: int, most: int = WORDS) -> Vocabulary:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Batches(["names", "counts"])
-        for batch in slices(batches):
-            names, n = np.unique(Words(batch.column(0)).hashes(), return_counts=True)
-            yield from out.add((names % U64(n_buckets)).astype(np.int64), names, n.astype("<u4"))
-        yield from out.flush()
-
-    def total(table: pa.Table) -> pa.Table:
-        names, n = _summed(_joined(table, "names", U64), _joined(table, "counts", "<u4"))
-        more = n >= 2
-        return pa.table({"name": pa.array(np.append(names[more].view(np.int64), 0)), "n": pa.array(np.append(n[more], n.sum())), "whole": pa.array(np.append(np.zeros(int(more.sum()), dtype=bool), True))})
-
-    table = checkpoint(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, names binary, counts binary").groupBy("bucket").applyInArrow(total, "name long, n long, whole boolean"))
-    tokens = table.where("whole").agg(F.sum("n")).first()[0] or 0
-    # the counts of counts are few: their number grows with the square root of the corpus
-    seen, least = 0, 2
-    for r in table.where("not whole").groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        if seen + r["k"] > most:
-            least = r["n"] + 1
-            break
-        seen += r["k"]
-    kept = table.where(~F.col("whole") & (F.col("n") >= least)).select("name", "n").toArrow()
-    return Vocabulary(kept["name"].to_numpy().view(U64), kept["n"].to_numpy(), int(tokens))
-
-
-def _head(table: DataFrame, most: int, kind: type | str = "<u4") -> tuple[np.ndarray, np.ndarray]:
-    """The table's most frequent n-grams, at most `most`, and their counts: work that batches can do at once."""
-
-    def of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                n, k = np.unique(np.frombuffer(blob, dtype=np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(n), "k": pa.array(k)})
-
-    seen, least = 0, 1
-    for r in table.select("counts").mapInArrow(of_counts, "n long, k long").groupBy("n").agg(F.sum("k").alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        if seen + r["k"] > most:
-            least = r["n"] + 1
-            break
-        seen += r["k"]
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.frombuffer(counts, dtype=np.int64)
-                pick = n >= least
-                yield pa.RecordBatch.from_pydict({"names": pa.array([np.frombuffer(names, dtype=kind)[pick].tobytes()], pa.binary()), "counts": pa.array([n[pick].astype("<u4").tobytes()], pa.binary())})
-
-    got = table.select("names", "counts").mapInArrow(top, "names binary, counts binary").toArrow()
-    names, n = _joined(got, "names", kind), _joined(got, "counts", "<u4")
-    order = np.argsort(names)
-    return names[order], n[order]
-
-
-def _grams(column: pa.Array, long: bool) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the names of all triples (`long`) or of all words and pairs, their rows, and how often the row's score takes their log count.
-
-    Each word takes its n-gram once and the n-gram's context, which is one word
-    shorter, minus once: pairs inside a text are contexts only, and the first
-    word's and the first pair's own counts cancel where a text goes on.
-    """
-    words = Words(column)
-    one, row = words.hashes(), words.row
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1).T).view(U64).ravel()
+
+
+def _chunks(base: DataFrame) -> DataFrame:
+    """chunk, ids, sizes, texts: rows packed together, texts compressed."""
+    kind = base.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts = [t.encode() if t else b"" for t in table["text"].to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table["id"].combine_chunks())
+            return pa.RecordBatch.from_pydict({"ids": ids, "sizes": pa.array([_coded(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))], pa.binary()), "texts": pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(texts))], pa.binary())})
+
+        for batch in slices(batches, limit=CHUNK):
+            own = batch.column(1).nbytes
+            if held and (size + own > CHUNK or sum(b.num_rows for b in held) + batch.num_rows > 1 << 15):
+                yield flush()
+                held, size = [], 0
+            held.append(batch)
+            size += own
+        if held:
+            yield flush()
+
+    packed = base.mapInArrow(pack, f"ids array<{kind}>, sizes binary, texts binary")
+    return checkpoint(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes", "texts"))
+
+
+def _words(sizes: bytes, texts: bytes) -> Words:
+    size = _decoded(sizes).view(np.int64)
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, int(offsets[-1])))
+    return Words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+
+
+def _names(words: Words, long: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(names, index of the last word) of all triples (`long`), or of all words and of all pairs."""
+    one = words.hashes()
     if long:
         three, at = sequence_hash(one, words.first, 3, 3)
-        return words, three, row[at], np.ones(len(three), dtype=np.int8)
+        return [(three, at + 2)]
     two, at = sequence_hash(one, words.first, 2, 2)
-    pair = row[at]
-    inside = (at == words.first[pair]).astype(np.int8) - (at + 2 < words.first[pair + 1]).astype(np.int8)
-    return words, np.concatenate([one, two]), np.concatenate([row, pair]), np.concatenate([(words.counts == 1)[row].astype(np.int8), inside])
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    doc, of = np.unique(_joined(table, "docs", np.int64), return_inverse=True)
-    n = np.bincount(of, weights=_joined(table, "n", "<u4"), minlength=len(doc)).astype(np.int64)
-    value = np.bincount(of, weights=_joined(table, "value", np.float64), minlength=len(doc))
-    mean = value / np.maximum(n, 1)
-    return pa.table({"doc_id": pa.array(doc, mask=doc == _NULL_ID), "n_words": pa.array(n), "log_score": pa.array(value), "mean_log_score": pa.array(mean, mask=n == 0)})
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, keep: int = KEEP, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words, log_score (natural log, summed over words) and mean_log_score of each document."""
-    if words is not None:
-        return _closed_score(docs, id_col, text_col, words, keep, backoff)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_buckets = buckets(base, 4 << 20)
-    # words with pairs, then triples: each order's shuffles are gone before the next one's
-    short, long = (checkpoint(_share(base, n_buckets, k)) for k in (False, True))
-    return short.unionByName(long).groupBy("bucket").applyInArrow(_by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
-
-
-def _share(base: DataFrame, n_buckets: int, long: bool) -> DataFrame:
-    """What the triples (`long`), or the words and pairs, add to the documents' scores, packed by hash of the document; with the latter come the numbers of words."""
-
-    def place(names: np.ndarray) -> np.ndarray:
-        return ((names >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial counts by bucket; bucket -1 has the number of words."""
-        parts, held, total = [], 0, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names, n = _summed(*(np.concatenate(c) for c in zip(*parts)))
-            out = _Batches(["names", "counts"], 1, "names")
-            return out.add(place(names), names, n.astype("<u4"))
-
-        for batch in slices(batches):
-            w, names, _, _ = _grams(batch.column(0), long)
-            total += len(w.starts)
-            parts.append(np.unique(names, return_counts=True))
-            held += len(parts[-1][0])
-            if held >= 1 << 21:
-                yield from flush()
-                parts, held = [], 0
-        if held:
-            yield from flush()
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "names": pa.array([bytes(8)], pa.binary()), "counts": pa.array([np.array([total], dtype="<u4").tobytes()], pa.binary())})
-
-    def summed(table: pa.Table) -> pa.Table:
-        """The counts of a bucket; those of 1 are known without a table."""
-        names, n = _summed(np.concatenate([_decoded(x) for x in table["names"].to_pylist()]), _joined(table, "counts", "<u4"))
-        more = (n >= 2) | (table["bucket"][0].as_py() < 0)
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "names": pa.array([names[more].tobytes()], pa.binary()), "counts": pa.array([n[more].tobytes()], pa.binary())})
-
-    counted = checkpoint(base.select("text").mapInArrow(count, "bucket int, names binary, counts binary").groupBy("bucket").applyInArrow(summed, "bucket int, names binary, counts binary"))
-    base.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle's files once its plan is collected
-    total = sum(int(np.frombuffer(r["counts"], dtype=np.int64).sum()) for r in counted.where("bucket = -1").collect())
-    log_total = 0.0 if long else float(np.log(max(total, 1)))
-    table = counted.where("bucket >= 0")
-
-    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"name": pa.array(mix(np.frombuffer(blob, dtype=U64), 22).view(np.int64))})
-
-    known = slot_filter(table.select("names").mapInArrow(names_of, "name long"))
-    head = base.sparkSession.sparkContext.broadcast(_head(table, HEAD, U64))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents' n-grams that may be in the table beyond its head, by the table's buckets; the rest is summed here (buckets below 0)."""
-        out = _Batches(["names", "counts", "docs"], coded="docs")
-        for batch in slices(batches):
-            top, top_n = head.value
-            w, names, row, takes = _grams(batch.column(1), long)
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
-            at = np.flatnonzero((takes != 0) & hit(known.value, mix(names, 22)))
-            sums = np.where(w.counts > 0, -log_total, 0.0)
-            if len(top):
-                k = np.minimum(np.searchsorted(top, names[at]), len(top) - 1)
-                there = top[k] == names[at]
-                sums = sums + np.bincount(row[at[there]], weights=takes[at[there]] * np.log(top_n[k[there]]), minlength=batch.num_rows)
-                at = at[~there]
-            at = at[np.argsort(row[at], kind="stable")]
-            n = w.counts.astype("<u4") * np.uint32(not long)
-            spread = -1 - int(mix(ids[:1].view(U64), 24)[0] % U64(n_buckets))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([spread], pa.int32()), "names": pa.array([sums.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "docs": pa.array([_coded(ids.tobytes())], pa.binary())})
-            yield from out.add(place(names[at]), names[at], takes[at], ids[row[at]])
-        yield from out.flush()
-
-    pieces = base.mapInArrow(explode, "bucket int, names binary, counts binary, docs binary").withColumn("piece", F.lit(1))
-    tables = table.select("bucket", "names", "counts", F.lit(b"").alias("docs"), F.lit(0).alias("piece"))
-    # a bucket's table comes first and its pieces pass by it one by one, so they are never gathered
-    met = tables.unionByName(pieces).repartition("bucket").sortWithinPartitions("bucket", "piece")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Batches(["docs", "n", "value"])
-        held, own, logs = None, np.zeros(0, dtype=U64), np.zeros(0)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                if not r["piece"]:
-                    held, own, logs = r["bucket"], np.frombuffer(r["names"], dtype=U64), np.log(np.frombuffer(r["counts"], dtype=np.int64))
-                    continue
-                doc = _decoded(r["docs"]).view(np.int64)
-                if r["bucket"] < 0:
-                    n, value = np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["names"], dtype=np.float64)
-                elif r["bucket"] == held and len(own):
-                    names = np.frombuffer(r["names"], dtype=U64)
-                    i = np.minimum(np.searchsorted(own, names), len(own) - 1)
-                    value = np.where(own[i] == names, logs[i], 0.0) * np.frombuffer(r["counts"], dtype=np.int8)
-                    doc, of = np.unique(doc, return_inverse=True)
-                    n, value = np.zeros(len(doc), dtype="<u4"), np.bincount(of, weights=value, minlength=len(doc))
-                else:
-                    continue
-                yield from out.add((mix(doc.view(U64), 23) % U64(n_buckets)).astype(np.int64), doc, n, value)
-        yield from out.flush()
-
-    return met.mapInArrow(sums, "bucket int, docs binary, n binary, value binary")
-
-
-def _closed_score(docs: DataFrame, id_col: str, text_col: str, words: int, keep: int, backoff: float) -> DataFrame:
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_buckets = buckets(base)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(base, "text", n_buckets, words))
-    log_backoff = float(np.log(backoff))
+    return [(one, np.arange(len(one))), (two, at + 1)]
 
-    def place(names: np.ndarray) -> np.ndarray:
-        return (mix(names.astype(U64), 21) % U64(n_buckets)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Batches(["names", "counts"])
-        for batch in slices(batches):
-            names, n = np.unique(sent.value.bigrams(batch.column(0))[2], return_counts=True)
-            yield from out.add(place(names), names, n.astype("<u4"))
-        yield from out.flush()
+def _answers(chunks: DataFrame, n_buckets: int, long: bool) -> DataFrame:
+    """chunk, bucket, counts, words: for a chunk's distinct n-grams of a bucket, by name, their counts in the corpus; words: those of the chunk, in one of its rows."""
 
-    def frequent(table: pa.Table) -> pa.Table:
-        names, n = _summed(_joined(table, "names", "<u4"), _joined(table, "counts", "<u4"))
-        names, n = names[n >= keep], n[n >= keep]
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "names": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = _words(sizes, texts)
+                names, n = np.unique(np.concatenate([x for x, _ in _names(words, long)]), return_counts=True)
+                # buckets are ranges of names, so that a chunk's answers in the order of buckets are in the order of its names
+                bucket = ((names >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+                ids, at = np.unique(bucket, return_index=True)
+                parts = list(zip(at.tolist(), [*at[1:].tolist(), len(names)]))
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(ids, pa.int32()),
+                    "chunk": pa.array(np.full(len(ids), chunk), pa.int64()),
+                    "names": pa.array([_coded(np.diff(names[i:j], prepend=U64(0))) for i, j in parts], pa.binary()),
+                    "counts": pa.array([_coded(n[i:j].astype(U64)) for i, j in parts], pa.binary()),
+                    "words": pa.array(np.where(np.arange(len(ids)) == 0, len(words.starts), 0), pa.int64()),
+                })
+
+    def answer(table: pa.Table) -> pa.Table:
+        names = [np.cumsum(_decoded(x), dtype=U64) for x in table["names"].to_pylist()]
+        ends = np.cumsum([len(x) for x in names])
+        _, of = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate([_decoded(x) for x in table["counts"].to_pylist()]).astype(np.float64)).astype(U64)
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "counts": pa.array([_coded(total[x]) for x in np.split(of, ends[:-1])], pa.binary()), "words": table["words"]})
+
+    asked = chunks.select("chunk", "sizes", "texts").mapInArrow(request, "bucket int, chunk long, names binary, counts binary, words long")
+    return checkpoint(asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, words long"))
+
+
+def _others(count: np.ndarray, of: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Counts of n-grams (numbered `of`) less those inside the n-gram's own row."""
+    out = count.copy()
+    more = np.flatnonzero(count > 1)
+    _, inverse, own = np.unique(of[more] * rows + row[more], return_inverse=True, return_counts=True)
+    out[more] -= own[inverse]
+    out[count == 1] = 0
+    return out
+
+
+def _log_scores(words: Words, total: int, counts: list[np.ndarray], backoff: float) -> np.ndarray:
+    """The log score of each word; counts: of the word, pair and triple that end there (0: none, or unseen); total: N of each row."""
+    one, two, three = counts
+    row = words.row
+    place = np.arange(len(one)) - words.first[row]
+    log_backoff = float(np.log(backoff))
+    log = lambda x: np.log(np.maximum(x, 1))
+    before = lambda x: np.append(0, x[:-1]) if len(x) else x
+    unigram = np.where(one > 0, log(one), log_backoff) - log(total)[row]
+    bigram = np.where(two > 0, log(two) - log(before(one)), log_backoff + unigram)
+    trigram = np.where(three > 0, log(three) - log(before(two)), log_backoff + bigram)
+    return np.select([place == 0, place == 1], [unigram, bigram], trigram)
 
-    table = checkpoint(base.select("text").mapInArrow(count, "bucket int, names binary, counts binary").groupBy("bucket").applyInArrow(frequent, "bucket int, names binary, counts binary"))
 
-    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"name": pa.array(mix(np.frombuffer(blob, dtype="<u4").astype(U64), 22).view(np.int64))})
-
-    known = slot_filter(table.select("names").mapInArrow(names_of, "name long"))
-    head = docs.sparkSession.sparkContext.broadcast(_head(table, HEAD))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents' bigrams that may be in the table beyond its head, by the table's buckets; the rest is summed here (buckets below 0)."""
-        out = _Batches(["names", "counts", "docs"])
-        for batch in slices(batches):
-            v, (top, top_n) = sent.value, head.value
-            w, number, names, at = v.bigrams(batch.column(1))
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
-            row = w.row
-            maybe = hit(known.value, mix(names.astype(U64), 22))
-            value = log_backoff + v.log_share[number[at]]
-            if len(top):
-                k = np.minimum(np.searchsorted(top, names), len(top) - 1)
-                there = top[k] == names
-                value = np.where(there, np.log(top_n[k]) - v.log_count[number[at - 1]], value)
-                maybe &= ~there
-            local = v.log_share[number].copy()
-            local[at] = np.where(maybe, 0, value)
-            sums = np.bincount(row, weights=local, minlength=batch.num_rows)
-            spread = -1 - int(mix(ids[:1].view(U64), 24)[0] % U64(n_buckets))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([spread], pa.int32()), "names": pa.array([sums.tobytes()], pa.binary()), "counts": pa.array([w.counts.astype("<u4").tobytes()], pa.binary()), "docs": pa.array([ids.tobytes()], pa.binary())})
-            # one entry for each bigram of a document
-            key, n = np.unique((row[at[maybe]].astype(U64) << U64(32)) | names[maybe], return_counts=True)
-            doc, key = ids[(key >> U64(32)).astype(np.int64)], key.astype(np.uint32)
-            yield from out.add(place(key), key, n.astype("<u4"), doc)
-        yield from out.flush()
-
-    # the table's row meets the pieces of its bucket one by one, so a bucket's pieces are never gathered
-    pieces = base.mapInArrow(explode, "bucket int, names binary, counts binary, docs binary")
-    met = pieces.join(table.select("bucket", F.col("names").alias("known"), F.col("counts").alias("seen")), "bucket", "left").select("bucket", "names", "counts", "docs", "known", "seen")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                v = sent.value
-                n, doc = np.frombuffer(r["counts"], dtype="<u4"), np.frombuffer(r["docs"], dtype=np.int64)
-                if r["bucket"] < 0:
-                    yield _sums(doc, n, np.frombuffer(r["names"], dtype=np.float64))
-                    continue
-                names = np.frombuffer(r["names"], dtype="<u4")
-                a, b = (names >> np.uint32(16)).astype(np.int64), (names & np.uint32(0xFFFF)).astype(np.int64)
-                value = log_backoff + v.log_share[b]
-                own, seen = np.frombuffer(r["known"] or b"", dtype="<u4"), np.frombuffer(r["seen"] or b"", dtype=np.int64)
-                if len(own):
-                    k = np.minimum(np.searchsorted(own, names), len(own) - 1)
-                    there = own[k] == names
-                    value = np.where(there, np.log(seen[k]) - v.log_count[a], value)
-                doc, of = np.unique(doc, return_inverse=True)
-                yield _sums(doc, np.zeros(len(doc), dtype="<u4"), np.bincount(of, weights=value * n, minlength=len(doc)))
-
-    def _sums(doc: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        packed = list(pack_by((mix(doc.view(U64), 23) % U64(n_buckets)).astype(np.int64), doc, n, value))
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in packed], pa.int32())} | {name: pa.array([x[k] for _, x in packed], pa.binary()) for k, name in enumerate(("docs", "n", "value"))})
-
-    every = met.mapInArrow(sums, "bucket int, docs binary, n binary, value binary")
-    return every.groupBy("bucket").applyInArrow(_by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leave_out: bool = True, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, log_score (natural log, summed over words) and mean_log_score of each row."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n_buckets = buckets(base)
+    chunks = _chunks(base)
+    short, long = (_answers(chunks, n_buckets, k) for k in (False, True))
+    corpus = short.agg(F.sum("words")).first()[0] or 0
+    answers = short.select("chunk", "bucket", "counts", F.lit(0).alias("round")).unionByName(long.select("chunk", "bucket", "counts", F.lit(1).alias("round")))
+
+    def scored(mine: pa.Table, got: pa.Table) -> pa.Table:
+        row = mine.slice(0, 1)
+        words = _words(row["sizes"][0].as_py(), row["texts"][0].as_py())
+        rows, own_row = len(words.counts), words.row
+        counts = []
+        got = got.sort_by([("round", "ascending"), ("bucket", "ascending")])
+        for k in (False, True):
+            table = got.filter(pa.compute.equal(got["round"], int(k)))
+            total = np.concatenate([np.zeros(0, dtype=U64), *(_decoded(x) for x in table["counts"].to_pylist())]).astype(np.int64)
+            grams = _names(words, k)
+            _, of = np.unique(np.concatenate([x for x, _ in grams]), return_inverse=True)
+            at = 0
+            for names, last in grams:
+                mine_of = of[at : at + len(names)]
+                at += len(names)
+                count = total[mine_of]
+                out = np.zeros(len(words.starts), dtype=np.int64)
+                out[last] = _others(count, mine_of, own_row[last], rows) if leave_out else count
+                counts.append(out)
+        n = words.counts
+        value = np.bincount(own_row, weights=_log_scores(words, corpus - n * leave_out, counts, backoff), minlength=rows).astype(np.float64)
+        return pa.table({"doc_id": row["ids"].combine_chunks().flatten(), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(value), "mean_log_score": pa.array(value / np.maximum(n, 1), mask=n == 0)})
+
+    kind = base.schema["id"].dataType.simpleString()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")

@@ -6,20 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint  # noqa: F401
+
 #: Slots of a membership filter; it takes SLOTS / 8 bytes wherever it is sent.
 SLOTS = 1 << 26
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir, set here only where it is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(place or "/tmp/latticework-checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def buckets(df: DataFrame, bytes_each: int = 8 << 20, least: int = 64) -> int:
     """How many hash buckets to deal df's content into: by Spark's estimate of its size, so that a bucket stays small at any size."""
     spark: SparkSession = df.sparkSession

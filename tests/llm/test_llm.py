@@ -63,72 +63,54 @@ def test_words_and_names():
 # op1
 
 
-def brute_lm(rows, most, keep=2, backoff=0.4):
+def brute_trigrams(rows, leave_out, backoff=0.4):
     texts = [(i, words(t)) for i, t in rows]
-    uni = Counter(w for _, t in texts for w in t)
-    total, counts, seen, least = sum(uni.values()), Counter(c for c in uni.values() if c >= 2), 0, 2
-    for c in sorted(counts, reverse=True):
-        if seen + counts[c] > most:
-            least = c + 1
-            break
-        seen += counts[c]
-    known = {w for w, c in uni.items() if c >= least}
-    one = {w: uni[w] for w in known}
-    one[None] = total - sum(one.values())
-    name = lambda w: w if w in known else None
-    two = Counter((name(a), name(b)) for _, t in texts for a, b in zip(t, t[1:]))
-    out = {}
+    grams = lambda t: Counter(tuple(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1))
+    every = Counter()
+    for _, t in texts:
+        every.update(grams(t))
+    out = []
     for i, t in texts:
-        s, before = 0.0, None
-        for k, w in enumerate(map(name, t)):
-            if k and two[before, w] >= keep:
-                s += math.log(two[before, w] / one[before])
-            else:
-                s += math.log((backoff if k else 1) * one[w] / total)
-            before = w
-        n, v = out.get(i, (0, 0.0))
-        out[i] = (n + len(t), v + s)
-    return out
-
-
-@pytest.mark.parametrize("most,head", [(65_535, 1 << 20), (50, 5)])
-def test_lm(spark, docs, odd, empty, monkeypatch, most, head):
-    monkeypatch.setattr(lm, "HEAD", head)
-    for df in (docs, odd):
-        want = brute_lm([(r.doc_id, r.text) for r in df.collect()], most)
-        got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score(df, words=most).collect()}
-        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
-    assert lm.score(empty).count() == 0
-
-
-def brute_trigrams(rows, backoff=0.4):
-    texts = [(i, words(t)) for i, t in rows]
-    c = [Counter(tuple(t[k : k + n]) for _, t in texts for k in range(len(t) - n + 1)) for n in (1, 2, 3)]
-    total = sum(c[0].values())
+        own = grams(t) if leave_out else Counter()
+        total = max(1, sum(len(u) for _, u in texts) - len(t) * leave_out)
+        c = lambda g: every[g] - own[g]  # noqa: B023, E731
 
-    def s(gram):
-        if len(gram) == 1:
-            return c[0][gram] / total
-        seen = c[len(gram) - 1][gram]
-        return seen / c[len(gram) - 2][gram[:-1]] if seen else backoff * s(gram[1:])
+        def s(gram):
+            if len(gram) == 1:
+                return c(gram) / total if c(gram) else backoff / total  # noqa: B023
+            return c(gram) / c(gram[:-1]) if c(gram) else backoff * s(gram[1:])
 
-    out = {}
-    for i, t in texts:
-        n, v = out.get(i, (0, 0.0))
-        out[i] = (n + len(t), v + sum(math.log(s(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t))))
-    return out
+        value = sum(math.log(s(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t)))
+        out.append((i, len(t), round(value, 6), round(value / len(t), 8) if t else None))
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("head", [1 << 20, 5])
-def test_lm_counts_every_ngram(spark, docs, odd, monkeypatch, head):
-    monkeypatch.setattr(lm, "HEAD", head)
-    # more words than a closed vocabulary would hold, each twice; texts of one word and of two
+@pytest.mark.parametrize("leave_out", [True, False])
+@pytest.mark.parametrize("chunk", [8 << 20, 4000])
+def test_lm(spark, docs, odd, empty, monkeypatch, chunk, leave_out):
+    """Also with texts in many chunks, and texts longer than one."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    # more words than 16 bits can number, each twice; texts of one word and of two; one n-gram in every text
     many = " ".join(f"w{k}" for k in range(70_000))
-    wide = spark.createDataFrame([(1, many), (2, many + " w3 w3"), (3, "w69999"), (4, "once"), (5, "w3 w4"), (6, "w3 w3")], "doc_id long, text string")
-    for df in (docs, odd, wide):
-        want = brute_trigrams([(r.doc_id, r.text) for r in df.collect()])
-        got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score(df).collect()}
-        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 * max(1, got[k][0]) for k in want)
+    wide = spark.createDataFrame([(1, many), (2, many + " w3 w3"), (3, "w69999"), (4, "once"), (5, "w3 w4"), (6, "w3 w3"), *((10 + k, f"w1 w2 w3 x{k}") for k in range(50))], "doc_id long, text string")
+    for df in (docs, odd, wide) if chunk > 4000 else (docs, odd):
+        got = sorted(((r.doc_id, r.n_words, round(r.log_score, 6), r.mean_log_score if r.mean_log_score is None else round(r.mean_log_score, 8)) for r in lm.score(df, leave_out=leave_out).collect()), key=str)
+        want = brute_trigrams([(r.doc_id, r.text) for r in df.collect()], leave_out)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) < 1e-5 * max(1, g[1]) and (g[3] is None) == (w[3] is None) for g, w in zip(got, want))
+    assert lm.score(empty, leave_out=leave_out).count() == 0
+
+
+def test_lm_ids_and_copies(spark):
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcdefghij") + r.choice("klmnopq") for _ in range(60)) for _ in range(30)]
+    df = spark.createDataFrame([(f"id{k}", t, k) for k, t in enumerate(texts + texts[:10])], "doc_id string, text string, chunk long")
+    got = {x.doc_id: x.mean_log_score for x in lm.score(df).collect()}
+    # a text that occurs twice is its copy's evidence; any other one backs off
+    twice = [got[f"id{k}"] for k in [*range(10), *range(30, 40)]]
+    assert min(twice) > max(got[f"id{k}"] for k in range(10, 30)) + 1
+    lone = lm.score(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).first()
+    assert abs(lone.log_score - (math.log(0.4) + math.log(0.4**2) + math.log(0.4**3))) < 1e-12
 
 
 # op2
