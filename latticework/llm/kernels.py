@@ -17,6 +17,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that part terms: all of ASCII but letters and digits.
+SYMBOLS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that the kernels take at once.
@@ -66,10 +68,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = CHUNK, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """The same rows, cut so that a slice holds about `limit` bytes of text and at most `rows` rows, or one row."""
     for batch in batches:
-        _, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
+        _, offsets = column_bytes(batch.column(text))
         at, n = 0, batch.num_rows
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
@@ -79,20 +81,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts.
+    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, or what other `breaks` (256 flags) leave together.
 
     starts, ends: byte positions; first: index of each row's first word, with one
     more entry at the end; row: the row of each word; data: the bytes.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
         self.data, self.offsets = column_bytes(column)
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
         inside = np.empty(n + 2, dtype=bool)
         inside[0] = inside[-1] = False
-        np.logical_not(_SPACE[self.data], out=inside[1:-1])
+        np.logical_not(breaks[self.data], out=inside[1:-1])
         begins = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
         at = self.offsets[:-1][self.offsets[:-1] < n]

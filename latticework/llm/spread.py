@@ -17,10 +17,22 @@ def buckets(df: DataFrame, bytes_each: int = 8 << 20, least: int = 64) -> int:
     spark: SparkSession = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= 1 << 60:  # unknown: rows that come from no file
-        size = 0
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+        size = df.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0
     return int(min(1 << 20, max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df begins with."""
+    taken = [c.lower() for c in df.columns]
+    out = []
+    for name in names:
+        while any(c.startswith(name) for c in taken):
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slot_filter(names: DataFrame):
     """A broadcast bitmap of the 64-bit names in the column `name`, by their low bits.
 
