@@ -1,16 +1,23 @@
 """URL filtering: listed rules first, then association rules mined from labels.
 
 Listed rules name a host, which stands for its subdomains too, and a path
-prefix; the longest that fits decides.  Other urls are judged by rules that
-FP-growth mines from labelled urls: combinations of url tokens that imply a bad
-label, pruned by support and confidence.  Each mined rule is indexed under its
-rarest token; a url's tokens look up candidate rules, whose whole combination is
-then checked.  Distinct urls are judged once.
+prefix; the longest that fits decides.  Other urls are judged by mined rules:
+FP-growth finds the token combinations that `least` or more urls with a bad
+label hold, and how many labelled urls hold them tells their confidence.  Rules
+are pruned by support, confidence and lift.  Combinations are found in urls
+through an inverted index: each stands under its rarest token, and a url's
+tokens look up candidates, whose whole combination is then checked.  Distinct
+urls are judged once.
+
+Support is a count, the same at every size of the input, so a host's bad pages
+are mined on a large table as on a small one.  Only combinations without a
+redundant token are kept: a host's name already stands for its parents'.
 
 Defined cases: a null url and one without `://` have empty host and path, fit no
 listed rule and hold no tokens, so they are allowed; of rules equally long the
 first listed wins; without labels of both kinds nothing is mined; repeated rows
-get equal verdicts; extra columns are not read.
+get equal verdicts; an empty table gives an empty result; columns other than the
+named ones are not read.
 """
 
 from __future__ import annotations
@@ -19,79 +26,123 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Mined rules and their tokens are broadcast up to this many index rows; support pruning keeps them far fewer.
+from .spread import checkpoint
+
+#: Mined rules and their tokens are broadcast up to this many index rows; beyond it they are joined.
 BROADCAST_RULES = 20_000
-BAD = "!bad"
 
 
-def with_parts(df: DataFrame, url_col: str) -> DataFrame:
-    """df with _url, host and path.
+def with_parts(df: DataFrame) -> DataFrame:
+    """df (url) with host and path.
 
     Host: what follows the first :// up to / ? # or the end, A-Z lower-cased.
     Path: what follows it up to ? # or the end.  Both are empty without ://.
     """
-    df = df.withColumn("_url", F.col(url_col))
-    marked = F.coalesce(F.instr("_url", "://") > 0, F.lit(False))
-    host = F.translate(F.regexp_extract(F.expr("substring(_url, instr(_url, '://') + 3)"), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    marked = F.coalesce(F.instr("url", "://") > 0, F.lit(False))
+    host = F.translate(F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     df = df.withColumn("host", F.when(marked, host).otherwise(F.lit("")))
-    path = F.regexp_extract(F.expr("substring(_url, instr(_url, '://') + 3 + length(host))"), r"^[^?#]*", 0)
+    path = F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3 + length(host))"), r"^[^?#]*", 0)
     return df.withColumn("path", F.when(marked, path).otherwise(F.lit("")))
 
 
-def with_rule(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """df (with host and path) with rule and rule_verdict of the longest listed rule that fits, else null."""
+def listed(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """rule and verdict of the longest listed rule that fits the columns host and path, else null."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: len(r[0])):  # the longest is tested first; of equals the first listed
         host, slash, path = text.partition("/")
         host = host.lower()
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(slash + path)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    return df.withColumn("rule", rule).withColumn("rule_verdict", verdict)
+    return rule, verdict
 
 
 def tokens() -> Column:
-    """Distinct tokens of a url from _url, host and path: scheme, host suffixes, path parts, extension, query names, fragment."""
+    """Distinct tokens of a url from url, host and path: scheme, host suffixes, path parts, extension, query names, fragment."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     path = F.transform(parts, lambda x: F.concat(F.lit("path="), x))
     ext = F.array(F.concat(F.lit("ext="), F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
-    query = F.transform(F.split(F.regexp_extract("_url", r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("query="), F.substring_index(x, "=", 1)))
-    other = F.array(F.concat(F.lit("scheme="), F.substring_index("_url", "://", 1)), F.concat(F.lit("fragment="), F.regexp_extract("_url", r"#(.*)$", 1)))
+    query = F.transform(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("query="), F.substring_index(x, "=", 1)))
+    other = F.array(F.concat(F.lit("scheme="), F.substring_index("url", "://", 1)), F.concat(F.lit("fragment="), F.regexp_extract("url", r"#(.*)$", 1)))
     every = F.array_distinct(F.concat(suffixes, path, ext, query, other))
-    return F.when(F.instr("_url", "://") > 0, F.filter(every, lambda t: ~t.endswith("="))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.instr("url", "://") > 0, F.filter(every, lambda t: ~t.endswith("="))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = 0.005, confidence: float = 0.6, lift: float = 1.2, least: int = 25) -> DataFrame:
-    """antecedent, confidence, lift, support of token combinations that imply a bad label, each in `least` labelled rows or more."""
-    baskets = with_parts(labelled.where(F.col(bad_col).isNotNull()), url_col).select(F.when(F.col(bad_col) == 1, F.concat(tokens(), F.array(F.lit(BAD)))).otherwise(tokens()).alias("items"))
-    n = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(n, 1))), minConfidence=confidence).fit(baskets)
-    return model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select("antecedent", "confidence", "lift", "support")
+def letters(text: Column) -> Column:
+    """The letters and digits of a text: what is left of it in any markup."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
 
 
-def match(urls: DataFrame, mined: DataFrame, url_col: str = "url") -> DataFrame:
-    """url, confidence and antecedent of the most confident mined rule (ties: more support, then the antecedent) of each distinct url that one fits."""
-    rules = mined.withColumn("_ant", F.array_sort("antecedent")).select("_ant", "confidence", "support")
-    held = with_parts(urls.select(url_col).where(F.col(url_col).isNotNull()).distinct(), url_col).select(F.col(url_col).alias("_u"), tokens().alias("_tokens"))
+def page_content(html: Column) -> Column:
+    """The text of a page's article without its headline, tags and character references."""
+    body = F.regexp_extract(html, r"(?s)<article[^>]*>(.*?)</article>", 1)
+    return F.regexp_replace(body, r"(?s)<h1[^>]*>.*?</h1>|<[^>]*>|&#?\w+;", " ")
+
+
+def page_labels(pages: DataFrame, docs: DataFrame, bad: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html", id_col: str = "doc_id", text_col: str = "text", bad_col: str = "bad") -> DataFrame:
+    """page_id, url, bad (0 or 1) of the pages whose content is a labelled document's text: bad if any such document is.
+
+    Pages and documents meet by the digest of their letters and digits, which markup doesn't change.
+    """
+    label = bad.select(F.col(id_col).alias("i"), F.col(bad_col).cast("int").alias("b")).where("b is not null").groupBy("i").agg(F.max("b").alias("b"))
+    texts = docs.select(F.col(id_col).alias("d"), letters(F.col(text_col)).alias("t")).where("t != ''")
+    known = texts.select("d", F.md5("t").alias("key")).join(label, F.col("d") == F.col("i")).groupBy("key").agg(F.max("b").alias("bad"))
+    shown = pages.select(F.col(page_id).alias("page_id"), F.col(url_col).alias("url"), letters(page_content(F.col(html_col))).alias("t")).where("t != ''")
+    return shown.select("page_id", "url", F.md5("t").alias("k")).join(known, F.col("k") == F.col("key")).select("page_id", "url", "bad")
+
+
+def _fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url and rule, a struct, of each row of urls (url, tokens) and each rule (antecedent, ...) whose whole antecedent is among the tokens."""
     # the inverted index: each rule under the token that fewest rules share
-    keyed = rules.select("*", F.explode("_ant").alias("token"))
+    keyed = rules.select(F.struct(*rules.columns).alias("rule"), F.explode("antecedent").alias("token"))
     uses = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = keyed.join(uses, "token").groupBy("_ant").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    index = keyed.join(uses, "token").groupBy("rule").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    index = checkpoint(index)
     if index.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
-    found = held.select("_u", "_tokens", F.explode("_tokens").alias("token")).join(index, "token").where(F.size(F.array_except("_ant", "_tokens")) == 0)
-    best = found.groupBy("_u").agg(F.max_by(F.struct("confidence", "_ant"), F.struct("confidence", "support", "_ant")).alias("m"))
-    return best.select(F.col("_u").alias(url_col), "m.confidence", F.col("m._ant").alias("antecedent"))
+    found = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return found.where(F.size(F.array_except("rule.antecedent", "tokens")) == 0).select("url", "rule")
+
+
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", least: int = 5, confidence: float = 0.5, lift: float = 1.5) -> DataFrame:
+    """antecedent (ascending), confidence, lift, support of token combinations that imply a bad label; support: labelled rows with both, `least` or more."""
+    rows = labelled.select(F.col(url_col).alias("url"), F.col(bad_col).cast("int").alias("bad")).where("url is not null and bad is not null")
+    rows = with_parts(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))).select("url", "n", "b", tokens().alias("tokens"))
+    rows = checkpoint(rows.where(F.size("tokens") > 0))
+    n, n_bad = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if not 0 < n_bad < n:
+        return rows.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support long")
+    bad = rows.where("b > 0").select("tokens", F.explode(F.sequence(F.lit(1), F.col("b").cast("int"))))
+    sets = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (least - 0.5) / n_bad)).fit(bad.select("tokens")).freqItemsets.where(F.col("freq") >= least)
+    parent = lambda x: F.exists("antecedent", lambda y: y.startswith("host=") & y.endswith(F.concat(F.lit("."), F.substring(x, 6, 1 << 20))))
+    sets = sets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("support"))
+    sets = checkpoint(sets.where(~F.exists("antecedent", lambda x: x.startswith("host=") & parent(x))))
+    held = _fitting(rows.select("url", "tokens"), sets).join(rows.select(F.col("url").alias("u"), "n"), F.col("url") == F.col("u")).groupBy("rule").agg(F.sum("n").alias("n"))
+    sure = F.col("rule.support") / F.col("n")
+    rules = held.select("rule.antecedent", sure.alias("confidence"), (sure * (n / n_bad)).alias("lift"), "rule.support")
+    return checkpoint(rules.where((F.col("confidence") >= confidence) & (F.col("lift") >= lift)))
 
 
-def judge(pages: DataFrame, mined: DataFrame | None, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule, verdict and the mined antecedent that blocked a url which no listed rule fits."""
-    rows = with_rule(with_parts(pages, url_col), rules).drop("_url")
+def match(urls: DataFrame, mined: DataFrame, url_col: str = "url") -> DataFrame:
+    """url, confidence and antecedent of the most confident mined rule (ties: more support, then the antecedent) of each distinct url that one fits."""
+    held = with_parts(urls.select(F.col(url_col).alias("url")).where("url is not null").distinct()).select("url", tokens().alias("tokens"))
+    rules = mined.select("antecedent", "confidence", "support")
+    best = _fitting(held, rules).groupBy("url").agg(F.max_by("rule", F.struct("rule.confidence", "rule.support", "rule.antecedent")).alias("m"))
+    return best.select("url", "m.confidence", "m.antecedent")
+
+
+def judge(pages: DataFrame, mined: DataFrame | None, rules: list[tuple[str, str]], url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns `keep` of each row of pages, with host, path, rule, verdict and the mined antecedent that blocked a url which no listed rule fits."""
+    made = ["host", "path", "rule", "verdict", "antecedent"]
+    if clash := {c.lower() for c in keep} & set(made):
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
+    rule, says = listed(rules)
+    rows = with_parts(pages.select(F.struct(*keep).alias("kept"), F.col(url_col).alias("url"))).withColumn("rule", rule).withColumn("says", says)
     if mined is None:
         rows = rows.withColumn("antecedent", F.lit(None).cast("array<string>"))
     else:
-        hits = match(pages.select(url_col), mined, url_col).select(F.col(url_col).alias("_hit"), "antecedent")
-        rows = rows.join(hits, (F.col(url_col) == F.col("_hit")) & F.col("rule").isNull(), "left").drop("_hit")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("antecedent").isNotNull(), "block").otherwise("allow"))
-    return rows.withColumn("verdict", verdict).drop("rule_verdict")
+        hits = match(rows.where("rule is null").select("url"), mined).select(F.col("url").alias("hit"), "antecedent")
+        rows = rows.join(hits, (F.col("url") == F.col("hit")) & F.col("rule").isNull(), "left")
+    verdict = F.coalesce("says", F.when(F.col("antecedent").isNotNull(), "block").otherwise("allow"))
+    return rows.withColumn("verdict", verdict).select("kept.*", *made)
