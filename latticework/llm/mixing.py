@@ -5,13 +5,16 @@ met by taking each of its documents `floor(target / size)` times, and once more
 those whose hash lies under the source's threshold.  The threshold is found by
 histograms: words are summed by source and hash bucket, the bucket in which the
 budget ends is the boundary, and only the documents of that bucket are looked
-at on the next, finer level.  Nothing is sorted by document, and only DataFrame
-functions run.
+at on the next, finer level.  The last boundary is one hash: of its rows as many
+are taken as come nearest to the budget.  Nothing is sorted by document, and only
+DataFrame functions run.
 
 Defined cases: a null or wordless text has size 0 and is taken 0 times; the null
-source is a source of its own, ordered last; rows with the same id share a hash
-and are taken alike; an empty table gives an empty result; columns other than
-the named ones pass through `mix` untouched.
+source is a source of its own, ordered last; rows of one id (or of none) with
+different texts have different hashes, and of rows equal in id and text as many
+as fit are taken, whichever; an empty table gives an empty result; the id may
+have any type that casts to text; columns other than the named ones are never
+read and pass through `mix` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spread import checkpoint
+from .spread import checkpoint, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash bits that one histogram level resolves, and the number of levels (60 bits in all).
@@ -34,9 +37,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(key: Column) -> Column:
-    """60 bits of the id's MD5, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def row_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id and the text's MD5, which other engines can compute too."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def source_order(sources: DataFrame) -> DataFrame:
@@ -81,54 +85,78 @@ def _with(rows: DataFrame, small: DataFrame, n: int, how: str = "left") -> DataF
     return rows.join(s, rows["source"].eqNullSafe(s["_source"]), how).drop("_source")
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each row; taken counts words, repeats included.
+def thresholds(sized: DataFrame) -> tuple[DataFrame, int]:
+    """source, source_size, target, copies, cut, extra of checkpointed rows (source, size, h), and the number of sources.
 
-    Documents are taken in the order of their hash until the next hash's rows
-    would pass the budget by more than half of their words.
+    Rows are taken `copies` times and once more where h < cut; `extra` of the
+    rows with h = cut are taken once more too.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", id_hash(F.col("doc_id")))
-    sized = checkpoint(sized)
     targets = checkpoint(source_targets(sized))
     n = targets.count()
     base = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(F.lit(0)).cast("int")
     state = targets.withColumn("copies", base).withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
-    state = state.withColumn("cut", F.lit(0).cast("long"))  # hashes below it are taken once more; budget: words still to take from it on
+    state = state.withColumn("cut", F.lit(0).cast("long"))  # budget: words still to take from it on
     open_rows = sized.select("source", "size", "h")
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
-        bucket = F.shiftright("h", shift)
-        sums = open_rows.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("w"), F.countDistinct("h").alias("k") if level else F.lit(2).alias("k"))
+        sums = open_rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("k"))
         up = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("w").over(up), F.lit(0)))
         # the boundary: the last bucket that starts within the budget
         edge = _with(sums, state.select("source", "budget"), n).where(F.col("before") <= F.col("budget"))
         edge = edge.groupBy("source").agg(F.max_by(F.struct("b", "w", "before", "k"), "b").alias("e")).select(F.col("source").alias("_s"), "e.*")
         state = state.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        low = F.shiftleft(F.col("b"), shift)
-        if level == LEVELS - 1:  # a bucket is one hash: it is taken if that comes nearer
-            take = F.col("before") + F.col("w") / 2 <= F.col("budget")
-            state = state.withColumn("cut", F.when(F.col("b").isNull(), F.col("cut")).when(take, low + F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(low))
-        else:
-            state = state.withColumn("cut", F.coalesce(low, F.col("cut")))
-        state = state.withColumn("budget", F.col("budget") - F.coalesce("before", F.lit(0)))
-        state = checkpoint(state.select("source", "source_size", "target", "copies", "cut", "budget"))
-        if level < LEVELS - 1:
+        state = state.withColumn("cut", F.coalesce(F.shiftleft(F.col("b"), shift), F.col("cut"))).withColumn("budget", F.col("budget") - F.coalesce("before", F.lit(0)))
+        last = level == LEVELS - 1  # a bucket is one hash
+        extra = F.when(F.col("w") > 0, F.least(F.floor(F.col("budget") * F.col("k") / F.col("w") + 0.5), F.col("k"))).otherwise(F.lit(0)).cast("long")
+        state = checkpoint(state.select("source", "source_size", "target", "copies", "cut", extra.alias("extra") if last else "budget"))
+        if not last:
             rows = _with(open_rows, state.select("source", "cut"), n, "inner")
             open_rows = rows.where(F.shiftright("h", shift) == F.shiftright("cut", shift)).select("source", "size", "h")
             if level == 0:
                 open_rows = checkpoint(open_rows)
-    out = _with(sized, state.drop("budget"), n)
-    times = F.least(F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0), F.lit(MOST))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"))
+    return state, n
+
+
+def _times(rows: DataFrame, state: DataFrame, n: int, size: str, h: str, source: str, out: str) -> DataFrame:
+    """rows with `out`: how often each is taken, 0 to MOST, and the state's columns as a struct `out`_of."""
+    small = state.select(F.struct(*state.columns).alias(f"{out}_of"))
+    small = F.broadcast(small) if n <= BROADCAST_SOURCES else small
+    of = lambda c: F.col(f"{out}_of")[c]
+    rows = rows.join(small, rows[source].eqNullSafe(small[f"{out}_of"]["source"]), "left")
+    capped = lambda c: F.when(F.col(size) > 0, F.least(c, F.lit(MOST))).otherwise(F.lit(0)).cast("int")
+    edge = (F.col(h) == of("cut")) & (F.col(size) > 0)
+    plain = rows.where(~edge).withColumn(out, capped(of("copies") + (F.col(h) < of("cut")).cast("int")))
+    # the rows at the boundary are numbered part by part, so that no task gathers them
+    parts = checkpoint(rows.where(edge).withColumn(f"{out}_p", F.spark_partition_id()))
+    per = parts.groupBy(F.col(source).alias("s"), F.col(f"{out}_p").alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(F.struct("s", "p", F.coalesce(before, F.lit(0)).alias("n")).alias(f"{out}_per"))
+    at = F.col(f"{out}_per")
+    number = F.row_number().over(Window.partitionBy(source, f"{out}_p").orderBy(h)) + at["n"]
+    cut = parts.join(per, parts[source].eqNullSafe(at["s"]) & (parts[f"{out}_p"] == at["p"]))
+    cut = cut.withColumn(out, number).withColumn(out, capped(of("copies") + (F.col(out) <= of("extra")).cast("int")))
+    return plain.unionByName(cut.drop(f"{out}_p", f"{out}_per"))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of each row; taken counts words, repeats included.
+
+    A source's rows are taken in the order of their hash, up to the row whose end comes nearest to the budget.
+    """
+    text = F.col(text_col)
+    sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), row_hash(F.col(id_col), text).alias("h")))
+    state, n = thresholds(sized)
+    out = _times(sized, state, n, "size", "h", "source", "times")
+    return out.select("doc_id", "source", "size", "times_of.source_size", "times_of.target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; its columns are unchanged."""
-    plan = plan_mix(docs, id_col, text_col, source_col).where("taken > 0")
-    # rows with one id and text are taken alike, so one plan row speaks for each (id, source, size)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.first("taken").alias("_taken"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), (F.col("_taken") / F.col("size")).cast("int").alias("_times"))
-    rows = docs.withColumn("_words", word_count(F.col(text_col)))
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan["_id"]) & rows[source_col].eqNullSafe(plan["_src"]) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """docs with each row repeated as often as the mix takes it; its columns are unchanged.  Texts stay where they are: only thresholds are sent."""
+    size, h, times = fresh(docs, "size", "h", "times")
+    rows = docs.withColumns({size: word_count(F.col(text_col)), h: row_hash(F.col(id_col), F.col(text_col))})
+    sized = checkpoint(rows.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(h).alias("h")))
+    state, n = thresholds(sized)
+    taken = _times(rows, state, n, size, h, source_col, times)
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return taken.where(F.col(times) > 0).withColumn(size, copies).select(*docs.columns)
