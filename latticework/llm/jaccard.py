@@ -13,12 +13,14 @@ blocks by group, size class and hash, whole blocks are multiplied, and each
 product gives the links of a spanning forest only.  Components are exact and
 groups of thousands of near copies cost rows in proportion to their sets.
 
-Names: n-grams and sets are compared by 48-bit and 64-bit hashes.
+Names: n-grams and sets are compared by 64-bit hashes.
 
 Defined cases: a null or wordless text has the empty set and links with nothing;
 fewer words than n make one n-gram; equal sets always link; the component of a
-row is the smallest id reachable, its own where the id is null or alone; repeated
-rows stay; extra columns aren't read.
+row is the smallest id reachable, its own where the id is null or alone; ids are
+whole numbers or text of such; `components` keeps repeated rows and reads no
+extra columns; `keep_one` keeps one row of each component, whatever the ids:
+that of the smallest id (null last), and one of rows that repeat its id and text.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .kernels import U64, Words, mix, pack_by, ragged, sequence_hash, slices
-from .spread import buckets, checkpoint, hit, slot_filter
+from .spread import buckets, checkpoint, fresh, hit, slot_filter
 
 #: Shared n-grams that a pair must show among the leading ones.
 OVERLAP = 3
@@ -48,17 +50,22 @@ def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     names = words.hashes()
     grams, at = sequence_hash(names, words.first, n)
     row = words.row
-    rows, keys = [row[at]], [grams]
+    size = np.where(words.counts < n, words.counts > 0, words.counts - n + 1)
+    first = np.append(0, np.cumsum(size))
+    keys = np.empty(int(first[-1]), dtype=U64)
+    long = (words.counts >= n)[np.repeat(np.arange(len(size)), size)]
+    keys[long] = grams
     for k in range(1, n):  # too short for an n-gram
         short = np.flatnonzero(words.counts == k)
-        g, at = sequence_hash(names, words.first, k, salt=n - k) if len(short) else (keys[0][:0], rows[0][:0])
-        mine = words.counts[row[at]] == k
-        rows.append(row[at][mine])
-        keys.append(g[mine])
-    joined = np.concatenate(rows).astype(U64) << U64(48) | np.concatenate(keys) >> U64(16)
-    joined = np.unique(joined)
-    first = np.searchsorted(joined >> U64(48), np.arange(len(words.counts) + 1, dtype=U64))
-    return joined & U64((1 << 48) - 1), first
+        if len(short):
+            g, at = sequence_hash(names, words.first, k, salt=n - k)
+            keys[first[short]] = g[words.counts[row[at]] == k]
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+        keys[i:j].sort()
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    fresh[first[:-1][size > 0]] = True
+    return keys[fresh], np.append(0, np.cumsum(fresh))[first]
 
 
 def set_names(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,15 +95,13 @@ def _once(names: np.ndarray, ids: pa.Array) -> np.ndarray:
     return np.sort(order[at])
 
 
-def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id linked to, directly or not): one row for each row of docs.
-
-    Two texts link when 100 * |intersection| >= percent * |union| of their n-gram sets.
-    """
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (its 64-bit hash), n, node, comp of each row of docs: the names of its set and of the set's component, null without words."""
     if not 75 <= percent <= 100:
         raise ValueError("the count bound holds for similarities of 75 percent and more")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_buckets = buckets(base)
+    hashed = base.withColumn("h", F.xxhash64("text"))
     short = OVERLAP * 100 // percent + 100 // (100 - percent) if percent < 100 else 1 << 40
     smallest = min((k for k in range(1, 1 + short) if -(-(k + 1) * percent // 100) <= k), default=1 << 40)  # smaller sets link with equal ones only
 
@@ -104,7 +109,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
         for batch in slices(batches):
             keys, first = ngram_sets(batch.column(1), n)
             names, size = set_names(keys, first), np.diff(first)
-            yield _rows(doc_id=batch.column(0), n=pa.array(size), node=pa.array(names.view(np.int64), mask=size == 0))
+            yield _rows(doc_id=batch.column(0), h=batch.column(2), n=pa.array(size), node=pa.array(names.view(np.int64), mask=size == 0))
             rows = _once(names, batch.column(0))
             rows = rows[size[rows] >= smallest]
             many = np.minimum(2 * (size[rows] - _least(size[rows], percent) + OVERLAP), size[rows])
@@ -116,14 +121,14 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
                 packed = list(pack_by((code % U64(n_buckets)).astype(np.int64), (code >> U64(32)).astype("<u4")))
                 yield _rows(bucket=pa.array([b for b, _ in packed], pa.int32()), blob=pa.array([x[0] for _, x in packed], pa.binary()))
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     def _rows(**columns: pa.Array) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    seen = checkpoint(base.mapInArrow(survey, "doc_id long, n long, node long, bucket int, blob binary"))
-    info = seen.where("bucket is null").select("doc_id", "n", "node")
+    seen = checkpoint(hashed.mapInArrow(survey, "doc_id long, h long, n long, node long, bucket int, blob binary"))
+    info = seen.where("bucket is null").select("doc_id", "h", "n", "node")
     quota = max(1, HOT_MAX // n_buckets)
 
     def frequent(table: pa.Table) -> pa.Table:
@@ -219,12 +224,18 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
         links = links.unionByName(_blocked(base, info, large, n, percent))
     joined = connected_components(links, "a", "b")
 
-    members = info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("d"))
-    members = members.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "d", F.coalesce("component", "node").alias("comp"))
-    members = checkpoint(members)
-    smallest_id = members.groupBy("comp").agg(F.min("d").alias("component_id"))
-    final = members.join(smallest_id, "comp").select(F.col("node").alias("_n"), "component_id")
-    out = info.join(final, F.col("node") == F.col("_n"), "left")
+    joined = joined.select(F.col("node").alias("_n"), "component")
+    return info.join(joined, F.col("node") == F.col("_n"), "left").select("doc_id", F.col("h").alias("text"), "n", "node", F.coalesce("component", "node").alias("comp"))
+
+
+def components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id linked to, directly or not): one row for each row of docs.
+
+    Two texts link when 100 * |intersection| >= percent * |union| of their n-gram sets.
+    """
+    found = checkpoint(_classes(docs, n, percent, id_col, text_col))
+    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "_c")
+    out = found.join(least, F.col("comp") == F.col("_c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -360,6 +371,19 @@ def _blocked(base: DataFrame, info: DataFrame, large: DataFrame, n: int, percent
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id; texts without words all stay."""
-    found = components(docs, n, percent, id_col, text_col).where("n_shingles > 0 and doc_id is not null and component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["_gone"], "left_anti")
+    """docs with one row of each component, that of the smallest id (null last, then the text's hash); texts without words all stay."""
+    rows = checkpoint(_classes(docs, n, percent, id_col, text_col).where("comp is not null").select("doc_id", "text", "comp"))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text")).alias("k"))
+    rows = rows.join(first.withColumnRenamed("comp", "_c"), F.col("comp") == F.col("_c"))
+    kept = F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("text") == F.col("k.text"))
+    # rows are told by id and text: gone, or kept by several rows of which one stays
+    gone, h = fresh(docs, "gone", "h")
+    marked = rows.groupBy("doc_id", "text").agg(F.bool_and(kept).alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    marked = checkpoint(marked.select(F.struct("doc_id", "text", "kept").alias(gone)))
+    wide = docs.withColumn(h, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)["doc_id"]) & (F.col(h) == F.col(gone)["text"])
+    out = wide.join(marked, same, "left_anti")
+    several = marked.where(F.col(gone)["kept"])
+    if not several.isEmpty():
+        out = out.unionByName(wide.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return out.select(*docs.columns)
