@@ -17,8 +17,12 @@ that brings one row for each window and batch.
 
 Defined cases: texts without words or shorter than a window lose nothing; rows
 of one id don't remove each other's words, and lose the same windows; a null id
-neither removes nor loses words; windows are judged on the input; extra columns
-pass through `dedup` untouched.
+neither removes nor loses words; windows are judged on the input; ids are whole
+numbers or text of such; extra columns pass through `dedup` untouched, whatever
+their names.
+
+Windows are told apart by 64-bit names inside buckets of symbols, which add the
+bucket's bits to them.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, Words, mix, pack_by, ragged, sequence_hash, slices
-from .spread import buckets, checkpoint, hit, slot_filter
+from .spread import buckets, checkpoint, fresh, hit, slot_filter
 
 WINDOW = 50
 ROUNDS = 7
@@ -241,10 +245,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _cut(batch: pa.RecordBatch, text: str, spans: str) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+def _cut(batch: pa.RecordBatch, text: int, spans: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, which of them are removed, and the kept words of each row joined by one space, end to end with offsets."""
-    words = Words(batch.column(batch.schema.get_field_index(text)))
-    column = batch.column(batch.schema.get_field_index(spans))
+    words = Words(batch.column(text))
+    column = batch.column(spans)
     gone = np.zeros(len(words.starts) + 1, dtype=np.int64)
     if len(column) - column.null_count:
         flat = column.flatten()
@@ -263,17 +267,19 @@ def _cut(batch: pa.RecordBatch, text: str, spans: str) -> tuple[Words, np.ndarra
 
 
 def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, window, id_col, text_col)
-    return docs.join(found.withColumnRenamed("doc_id", "_of").withColumnRenamed("spans", "_spans"), docs[id_col].cast("long") == F.col("_of"), "left").drop("_of")
+    """docs and, as the last column, the spans of each row."""
+    of, spans = fresh(docs, "of", "spans")
+    found = repeats(docs, window, id_col, text_col).select(F.col("doc_id").alias(of), F.col("spans").alias(spans))
+    return docs.join(found, docs[id_col].cast("long") == F.col(of), "left").select(*docs.columns, spans)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
-    rows = _with_spans(docs.select(id_col, text_col), window, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_spans")
+    rows = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), window, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, gone, out, upto = _cut(batch, "text", "_spans")
+            words, gone, out, upto = _cut(batch, 1, 2)
             raw = memoryview(out)
             lost = np.append(0, np.cumsum(gone))
             yield pa.RecordBatch.from_pydict({
@@ -292,17 +298,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     Texts that lose nothing stay as they are; rows that lose every word go.
     """
     rows = _with_spans(docs, window, id_col, text_col)
-    schema, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), docs.columns
+    at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            words, gone, out, upto = _cut(batch, text_col, "_spans")
+        for batch in slices(batches, at):
+            words, gone, out, upto = _cut(batch, at, width)
             lost = np.append(0, np.cumsum(gone))
             lost = lost[words.first[1:]] - lost[words.first[:-1]]
             raw = out.tobytes()
-            old = batch.column(batch.schema.get_field_index(text_col))
+            old = batch.column(at)
             text = [raw[a : max(a, b - 1)].decode() if n else t.as_py() for a, b, n, t in zip(upto[:-1].tolist(), upto[1:].tolist(), lost.tolist(), old)]
-            columns = {f: pa.array(text, pa.string()) if f == text_col else batch.column(batch.schema.get_field_index(f)) for f in names}
-            yield pa.RecordBatch.from_pydict(columns).filter(pa.array((lost == 0) | (lost < words.counts)))
+            columns = [pa.array(text, pa.string()) if k == at else batch.column(k) for k in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array((lost == 0) | (lost < words.counts)))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
