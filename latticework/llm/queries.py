@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
-    return score(_table(spark, sf_dir, "documents"))
+    return score(_table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +30,13 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .samples import held_out
-    from .urlrules import judge, mine
+    from .urlrules import judge, mine, page_labels
 
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    # a page is bad if its label says toxic or of low quality
-    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    labels = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
-    mined = mine(pages.join(labels, "page_id").select("url", "bad"))
-    return judge(pages, mined, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    # a page is bad if the document that it shows is marked toxic or of low quality
+    bad = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    mined = mine(page_labels(pages, _table(spark, sf_dir, "documents"), bad))
+    return judge(pages, mined, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "antecedent")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)

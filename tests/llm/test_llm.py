@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
+import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -154,7 +157,7 @@ def test_substrings(spark, monkeypatch, hot):
 def test_substrings_edges(spark, odd, empty):
     assert sorted([tuple(x) for x in substrings.digests(odd).collect()], key=str) == brute_repeats([(r.doc_id, r.text) for r in odd.collect()])
     assert substrings.digests(empty).count() == 0
-    kept = substrings.dedup(odd.drop("_spans")).collect()
+    kept = substrings.dedup(odd).collect()
     assert len(kept) == odd.count()
     twice = spark.createDataFrame([(1, "a b " * 40), (2, "a b " * 40), (3, "c  " + "a b " * 40 + " d")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in substrings.dedup(twice).collect()} == {1: "a b " * 40, 3: "c d"}
@@ -168,6 +171,7 @@ def test_url_parts_and_rules(spark):
     cases = [
         (None, "", "", None, "allow"),
         ("no scheme", "", "", None, "allow"),
+        ("", "", "", None, "allow"),
         ("http://Www.Example.COM/en/a?b#c", "www.example.com", "/en/a", "www.example.com/en/", "allow"),
         ("https://b.example.com/en/x", "b.example.com", "/en/x", "example.com/en/", "block"),
         ("https://net/es/", "net", "/es/", "net/es/", "block"),
@@ -176,23 +180,101 @@ def test_url_parts_and_rules(spark):
         ("x://a.com/?q://b", "a.com", "/", "com/", "allow"),
         ("x://\u00c0B.com#f", "\u00c0b.com", "", None, "allow"),
         ("x://a.net/fr/?", "a.net", "/fr/", "net/fr/", "block"),
+        ("x://a.net/fr/" + "y" * 100_000, "a.net", "/fr/" + "y" * 100_000, "net/fr/", "block"),
     ]
-    df = spark.createDataFrame([(k, c[0], 1) for k, c in enumerate(cases)], "page_id long, url string, _hit long")
-    got = urlrules.judge(df.drop("_hit"), None, rules).orderBy("page_id").collect()
-    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [c[1:] for c in cases]
-
-
-def test_url_mining(spark):
-    urls = [(f"http://{h}.org/{p}/{k}", int(p == "bad")) for k in range(60) for h in "ab" for p in ("bad", "good")]
-    mined = urlrules.mine(spark.createDataFrame(urls, "url string, bad int"), confidence=0.9)
-    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate([*urls, ("http://c.org/bad/new", 1), (None, 0)])], "page_id long, url string")
-    got = {r.url: (r.verdict, r.antecedent) for r in urlrules.judge(pages, mined, []).collect()}
-    # against each mined rule tried on each url's tokens
-    rules = [(set(r.antecedent), r.confidence) for r in mined.collect()]
-    held = {r._url: set(r.t) for r in urlrules.with_parts(pages, "url").select("_url", urlrules.tokens().alias("t")).collect()}
-    assert {u: v for u, (v, _) in got.items()} == {u: "block" if any(a <= t for a, _ in rules) else "allow" for u, t in held.items()}
-    assert got["http://c.org/bad/new"][0] == "block" and got["http://a.org/good/1"][0] == "allow"
-    assert urlrules.mine(spark.createDataFrame([], "url string, bad int")).count() == 0
+    cases.append(cases[-2])
+    names = ["hit", "antecedent", "url", "host", "path", "rule", "verdict", "says", "kept", "tokens", "confidence"]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "page_id long, address string").select("*", *[F.lit(1).alias(c) for c in names])
+    mined = spark.createDataFrame([(["path=nowhere"], 1.0, 2.0, 5)], "antecedent array<string>, confidence double, lift double, support long")
+    for m in (None, mined, mined.limit(0)):
+        got = urlrules.judge(df, m, rules, "address").orderBy("page_id").collect()
+        assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [c[1:] for c in cases]
+    assert urlrules.judge(df.limit(0), mined, rules, "address").count() == 0
+    with pytest.raises(ValueError):
+        urlrules.judge(df, None, rules, "address", keep=("host",))
+
+
+def url_tokens(url):
+    m = re.match(r"([^#?]*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", url or "", re.S)
+    if not m:
+        return frozenset()
+    scheme, host, path, query, fragment = m.groups()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    labels, ext = host.split("."), re.search(r"\.([A-Za-z0-9]+)$", path)
+    out = {f"scheme={scheme}", f"fragment={fragment or ''}", f"ext={ext[1] if ext else ''}"}
+    out |= {"host=" + ".".join(labels[k:]) for k in range(len(labels))} | {f"path={x}" for x in path.split("/") if x}
+    out |= {"query=" + x.split("=")[0] for x in (query or "").split("&")}
+    return frozenset(t for t in out if not t.endswith("="))
+
+
+def brute_rules(rows, least, confidence, lift):
+    """Every combination of tokens of the bad urls, counted on all labelled urls."""
+    held = [(url_tokens(u), b) for u, b in rows if url_tokens(u)]
+    good, bad = Counter(), Counter()
+    for t, b in held:
+        hosts = sorted(x for x in t if x.startswith("host="))
+        names = [x for x in t if x not in hosts]
+        # one host token at most: a name stands for its parents'
+        for size in range(len(names) + 1):
+            for part in itertools.combinations(sorted(names), size):
+                for host in [(), *[(h,) for h in hosts]]:
+                    if part or host:
+                        (bad if b else good)[tuple(sorted(part + host))] += 1
+    share = sum(b for _, b in held) / max(1, len(held))
+    sure = {x: n / (n + good[x]) for x, n in bad.items() if n >= least}
+    return {x: (round(c, 9), round(c / share, 9), bad[x]) for x, c in sure.items() if c >= confidence and c / share >= lift}
+
+
+def test_url_mining_on_whole_tables(spark, sf):
+    """The query's own steps against brute force: page labels, mined rules, verdicts; mined rules decide some rows."""
+    from latticework.llm.queries import URL_RULES, op3_url_rules
+
+    pages, docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("pages", "documents", "labels"))
+    flat = lambda t: "".join(c for c in t or "" if c.isalnum())
+    bad_text = {}
+    of = {x.doc_id: int(x.toxic == 1 or x.quality == 0) for x in labels if zlib.crc32(str(x.doc_id).encode()) % 4 != 2}
+    for d in docs:
+        if d.doc_id in of and flat(d.text):
+            bad_text[flat(d.text)] = max(bad_text.get(flat(d.text), 0), of[d.doc_id])
+    shown = {}
+    for p in pages:
+        body = re.search(r"<article[^>]*>(.*?)</article>", p.html, re.S)
+        shown[p.page_id] = flat(html.unescape(re.sub(r"<h1[^>]*>.*?</h1>|<[^>]*>", " ", body[1] if body else "", flags=re.S)))
+    rows = [(p.url, bad_text[shown[p.page_id]]) for p in pages if shown[p.page_id] in bad_text]
+    assert len(rows) > len(pages) // 4
+    rules = brute_rules(rows, 5, 0.5, 1.5)
+    table = spark.createDataFrame(rows, "url string, bad int")
+    mined = {tuple(r.antecedent): (round(r.confidence, 9), round(r.lift, 9), r.support) for r in urlrules.mine(table).collect()}
+    assert mined == rules and rules
+    seen = Counter()
+    for r in op3_url_rules(spark, sf).collect():
+        url = next(p.url for p in pages if p.page_id == r.page_id)
+        fits = [(c, n, x) for x, (c, _, n) in rules.items() if set(x) <= url_tokens(url)]
+        if r.rule is None:
+            assert r.verdict == ("block" if fits else "allow") and (tuple(r.antecedent) == max(fits)[2] if fits else r.antecedent is None)
+            seen[r.verdict] += 1
+        else:
+            assert r.verdict == dict(URL_RULES)[r.rule] and r.antecedent is None
+    assert seen["block"] and seen["allow"]
+
+
+def test_url_mining_edges(spark):
+    bare = spark.createDataFrame([], "url string, bad int")
+    assert urlrules.mine(bare).count() == 0
+    assert urlrules.mine(spark.createDataFrame([("http://a.b/c", 1)] * 9, "url string, bad int")).count() == 0
+    rows = [("http://a.org/x", 1)] * 5 + [("http://b.org/x", 0)] * 5 + [(None, 1), (None, 0), ("plain", 1), ("http://c.org/y", None)]
+    got = {tuple(r.antecedent): r.confidence for r in urlrules.mine(spark.createDataFrame(rows, "url string, bad int")).collect()}
+    assert ("host=a.org",) in got and got[("host=a.org",)] == 1.0 and not any("host=org" in x for x in got)
+    # rules beyond the broadcast limit are joined
+    pages = spark.createDataFrame([(1, "http://a.org/x", 3), (1, "http://a.org/x", 3), (2, "http://b.org/x", 3)], "page_id long, url string, hit int")
+    mined = urlrules.mine(spark.createDataFrame(rows, "url string, bad int"))
+    for most in (0, 20_000):
+        urlrules.BROADCAST_RULES = most
+        assert sorted((r.page_id, r.verdict) for r in urlrules.judge(pages, mined, []).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+    texts = spark.createDataFrame([(1, "A b-c"), (2, None), (None, "d"), (4, ""), (5, "Abc"), (5, "Abc")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (5, 1), (4, 1), (2, 1), (None, 1), (5, None)], "doc_id long, bad int")
+    shown = spark.createDataFrame([(1, "u", "<article class=x><h1>t</h1><p>a</p> &amp; B&#39;c</article>"), (2, None, "<article>A bc</article>"), (3, "v", None), (4, "w", "")], "page_id long, url string, html string")
+    assert [tuple(r) for r in urlrules.page_labels(shown, texts, marks).collect()] == [(2, None, 1)]
 
 
 # op4
@@ -200,19 +282,86 @@ def test_url_mining(spark):
 
 def test_block_max_is_exact():
     r = np.random.default_rng(3)
-    vectors = []
-    for _ in range(400):
-        t = np.sort(r.choice(50, r.integers(1, 8), replace=False))
-        w = r.random(len(t))
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 50)
-    table = np.zeros((400, 50))
-    for k, (t, w) in enumerate(vectors):
-        table[k, t] = w
-    for t, w in vectors[:60]:
-        s = np.round(table[:, t] @ w, 12)
-        want = [k for k in np.lexsort((np.arange(400), -s)) if s[k] > 0][:9]
-        assert index.nearest(t, w, 9)[0].tolist() == want
+    table = np.zeros((700, 60))
+    for k in range(700):
+        t = r.choice(60, r.integers(1, 12), replace=False)
+        table[k, t] = r.random(len(t)) * np.where(t < 10, 0.1, 1)
+    table[5:9] = table[4]
+    table /= np.sqrt((table * table).sum(axis=1, keepdims=True))
+    cut = np.append(0, np.cumsum((table > 0).sum(axis=1)))
+    term, weight = np.nonzero(table)[1], table[table > 0]
+    for common in (1 / 48, 2.0, 0.0):  # some terms bounded by block, none, all that more than a block of examples hold
+        toxicity.COMMON, old = common, toxicity.COMMON
+        index = toxicity.BlockMaxIndex(cut, term, weight, 60)
+        toxicity.COMMON = old
+        found = index.nearest(cut, term, weight, 9, skip=np.arange(700))
+        for k in range(700):
+            s = np.round(table @ table[k], 12)
+            s[k] = 0
+            want = [e for e in np.lexsort((np.arange(700), -s)) if s[e] > 0][:9]
+            assert found[k][0].tolist() == want and np.allclose(found[k][1], s[want], atol=1e-9)
+    few = toxicity.BlockMaxIndex(cut[:4], term[: cut[3]], weight[: cut[3]], 60)
+    assert len(few.nearest(np.array([0, 0, 1]), term[:1], weight[:1], 15)) == 2
+
+
+def brute_toxicity(rows, marks):
+    """Scores by plain loops over whole vectors; texts share no three words, so every text is an example of its own."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    terms = {i: Counter(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", lower(t))) for i, t in rows}
+    ex = sorted((i, y) for i, y in marks if not held(i) and i in terms)
+    n = Counter(y for _, y in ex)
+    known = set().union(*(terms[i] for i, _ in ex))
+    df = Counter(w for i in terms for w in terms[i] if w in known)
+    weight = {}
+    for w in known:
+        p1, p0 = (sum(1 for i, y in ex if y == k and w in terms[i]) / n[k] for k in (1, 0))
+        share = (p1 * n[1] + p0 * n[0]) / len(ex)
+        chi = (p1 - p0) ** 2 / (share * (1 - share) * (1 / n[1] + 1 / n[0])) if share < 1 else 0
+        weight[w] = (math.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + max(chi - 10, 0) / 30)
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in terms[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [vector(i) for i, _ in ex]
+    rate = n[1] / len(ex)
+
+    def vote(v, skip=None):
+        near = sorted((-round(sum(x * u.get(w, 0) for w, x in v.items()), 12), k) for k, u in enumerate(vectors) if k != skip)[:15]
+        near = [(-s, k) for s, k in near if s < 0]
+        w = [1 / (1.05 - min(s, 1)) for s, _ in near]
+        p = (sum(x for x, (_, k) in zip(w, near) if ex[k][1]) + 0.05 * rate) / (sum(w) + 0.05) if near else None
+        return (None if p is None else math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))), [(ex[k][0], s) for s, k in near[:5]]
+
+    x, y = zip(*[(vote(v, k)[0], ex[k][1]) for k, v in enumerate(vectors) if vote(v, k)[0] is not None])
+    slope, shift = toxicity._platt(np.array(x), np.array(y, dtype=float), np.ones(len(x)))
+    out = {}
+    for i in terms:
+        s, near = vote(vector(i))
+        out[i] = (rate, []) if s is None else (1 / (1 + math.exp(-(slope * s + shift))), near)
+    return out
+
+
+def test_toxicity_is_brute_force(spark):
+    r = random.Random(8)
+    plain = [f"w{k}" for k in range(400)]
+    rows, marks = [], []
+    for k in range(160):
+        t = [r.choice(plain) for _ in range(30)] + [f"own{k}", f"OWN{k}", f"own{k}."]
+        if k % 4 == 0:
+            t[r.randrange(30)] = r.choice(["Vile,", "(scum)", "vile"])
+        rows.append((k, " ".join(t)))
+        if k % 5:
+            marks.append((k, int(k % 4 == 0)))
+    rows += [(900, ""), (901, None), (902, "nothing known"), (903, "VILE")]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    want = brute_toxicity(rows, marks)
+    for x in toxicity.score(df, toxicity.fit(df, lab)).collect():
+        assert abs(x.score - want[x.doc_id][0]) < 1e-9
+        assert [e.doc_id for e in x.evidence] == [i for i, _ in want[x.doc_id][1]]
+        assert all(abs(e.cosine - s) < 1e-9 for e, (_, s) in zip(x.evidence, want[x.doc_id][1]))
 
 
 def test_toxicity_held_out(spark):
@@ -344,6 +493,30 @@ def test_jaccard_edges(spark, odd, empty):
         jaccard.components(odd, percent=50)
 
 
+def test_keep_one_row_of_each_class(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "y"), (7, b + " c", "y"), (7, b + " c", "y"), (None, a, "x"), (None, "d e f", "z"), (None, "d e f", "z"), (9, "", "x"), (9, "", "x"), (None, None, "x")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, gone string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a, "x"), (5, b, "y"), (None, "d e f", "z"), (9, "", "x"), (9, "", "x"), (None, None, "x")], key=str)
+
+
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """Near copies that one hot n-gram joins, in blocks of eight sets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SQUARE", 2)
+    r = random.Random(9)
+    base = [[f"{g}w{k}" for k in range(60)] for g in range(3)]
+    rows = []
+    for k in range(150):
+        w = list(base[k % 3])
+        for _ in range(r.randrange(3)):
+            w[r.randrange(60)] = f"x{r.randrange(500)}"
+        rows.append((k, " ".join(w)))
+    for n, percent in ((3, 90), (5, 80)):
+        got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+        assert sorted([tuple(x) for x in got], key=str) == brute_components(rows, n, percent)
+
+
 def test_block_product():
     r = np.random.default_rng(2)
     left, right = ([np.unique(r.integers(0, 40 if k % 2 else 4000, 30).astype(np.uint64)) for k in range(m)] for m in (90, 70))
@@ -470,10 +643,34 @@ def test_mixing(spark, docs, odd, empty):
     again = mixing.plan_mix(made).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, mixing.plan_mix(made.repartition(3)).collect()), key=lambda x: x) or sorted(again, key=str) == sorted(mixing.plan_mix(made.repartition(3)).collect(), key=str)
     assert mixing.plan_mix(empty).count() == 0
+    # rows of one id and of none, equal ones too: each source still comes within a document of its target
+    same = spark.createDataFrame([(i, "w " * 10, s, 0) for i, s in ((7, "a"), (None, "b")) for _ in range(500)], SCHEMA)
+    other = spark.createDataFrame([(i, "w " * 9 + f"x{k}", s, 0) for i, s in ((7, "a"), (None, "b")) for k in range(500)], SCHEMA)
+    for df in (same, other):
+        taken = {x.source: (x.n, x.t) for x in mixing.plan_mix(df).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()}
+        assert all(abs(n - t) <= 10 for n, t in taken.values()) and len(taken) == 2
+        back = {x.source: x["count"] * 10 for x in mixing.mix(df).groupBy("source").count().collect()}
+        assert back == {s: n for s, (n, _) in taken.items()}
     mixed = mixing.mix(made)
     assert mixed.columns == made.columns and mixed.count() == sum(g.taken // g["size"] for g in got if g["size"])
 
 
+# clashing names
+
+
+def test_extra_columns_pass(spark, docs, labels):
+    """Every name that an operator uses inside, as an extra column of its input."""
+    names = ["_spans", "spans", "_of", "of", "size", "h", "times", "times_of", "times_p", "times_per", "_words", "_times", "_copy", "_toxicity", "score", "gone", "_gone", "k", "comp", "node", "n", "id", "text_hash", "s", "p", "cut", "extra", "copies", "bucket", "chunk", "ids"]
+    wide = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    model = toxicity.fit(wide, labels)
+    for out in (substrings.dedup(wide), mixing.mix(wide), toxicity.keep_clean(wide, model, 0.3), jaccard.keep_one(wide)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == k for r in rows for k, c in enumerate(names))
+    for out in (lm.score(wide), substrings.digests(wide), jaccard.components(wide), toxicity.score(wide, model), mixing.plan_mix(wide)):
+        assert out.count() == docs.count()
+
+
 # op10
 
 
@@ -491,9 +688,39 @@ def test_quality_held_out(spark):
     assert sum((g.score >= 0.7) == (g.quality == 1) for g in got) / len(got) > 0.9
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op1_stupid_backoff", "op2_substring_dedup", "op6_ngram_jaccard", "op9_mixing"])
+def test_query_matches_sql(spark, sf, name):
+    import duckdb
+
+    from latticework.llm import oracles, queries
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    df, rows = queries.queries()[name](spark, sf), c.sql(oracles.SQL[name])
+    assert sorted(rows.columns) == sorted(df.columns)
+    plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
+    at = [rows.columns.index(k) for k in df.columns]
+    assert sorted(tuple(repr(plain(v)) for v in r) for r in df.collect()) == sorted(tuple(repr(plain(r[k])) for k in at) for r in rows.fetchall())
+
+
 # pipeline
 
 
+def test_pipeline_edges(spark, odd, empty, sf):
+    import corpus_pipeline as c
+
+    again = odd.unionByName(odd)
+    for df in (empty, again):
+        now = df
+        for _, stage in c.STAGES:
+            now = stage(spark, now, sf)
+            now = spark.createDataFrame(now.collect(), now.schema)
+        assert (now.count() == 0) == (df is empty)
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as c
     import public_tokenizers
