@@ -50,12 +50,12 @@ def expand_pattern(pattern: str, tokens: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(pattern[at:]))
 
 
-def derive_tags(area: Column, stroke: Column, solidity: Column, side: Column) -> Column:
-    """solid, hollow or mixed by solidity; thick, thin or even by stroke against the longer side; empty without ink."""
+def derive_tags(preset: Column, area: Column, stroke: Column, solidity: Column, side: Column) -> Column:
+    """Four tags: solid, hollow or mixed by solidity; thick, thin or even by stroke against the longer side (1 at least); ink or empty; the preset."""
     shape = F.when(solidity >= SOLID, "solid").when(solidity <= HOLLOW, "hollow").otherwise("mixed")
-    rel = F.try_divide(stroke.cast("double"), side.cast("double"))
+    rel = stroke.cast("double") / F.greatest(side.cast("double"), F.lit(1.0))
     weight = F.when(rel <= THIN, "thin").when(rel >= THICK, "thick").otherwise("even")
-    return F.when(area > 0, F.concat_ws(" ", shape, weight)).otherwise(F.lit("empty"))
+    return F.concat_ws(" ", shape, weight, F.when(area == 0, "empty").otherwise("ink"), preset)
 
 
 def csv_field(c: Column, delimiter: str = ",") -> Column:
@@ -114,18 +114,40 @@ def ramp(v: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))
 
 
-def xml_escape(c: Column) -> Column:
+def _references(c: Column) -> Column:
+    """c with the characters beyond ASCII as upper-case hex references."""
+    chars = F.transform(F.split(c, ""), lambda x: F.when(F.ascii(x) > 127, F.concat(F.lit("&#x"), F.hex(F.ascii(x).cast("long")), F.lit(";"))).otherwise(x))
+    return F.when(F.octet_length(c) > F.char_length(c), F.array_join(chars, "")).otherwise(c)
+
+
+def xml_escape(c: Column, control: str = " ") -> Column:
+    """Markup characters as entities, characters under 0x20 as `control`, those beyond ASCII as hex references."""
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(plain), F.lit(entity))
-    c = F.regexp_replace(c, r"[\x00-\x1F\x7F]", " ")
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.array_join(F.transform(chars, lambda x: F.when(F.octet_length(x) > 1, F.concat(F.lit("&#"), F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10), F.lit(";"))).otherwise(x)), "")
+    return _references(F.regexp_replace(c, r"[\x00-\x1F]", control))
+
+
+def id_escape(c: Column) -> Column:
+    """An id-safe name: trimmed, runs of white space as one dash, the rest escaped; empty gives icon."""
+    dashed = F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"[\s\p{Z}]+", "-")
+    return F.coalesce(F.nullif(xml_escape(dashed, "_"), F.lit("")), F.lit("icon"))
 
 
 def format_bytes(n: Column) -> Column:
     n = n.cast("double")
-    return F.when(n < 1024, F.format_string("%.0f B", n)).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.2f GB", n / 1024**3))
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n / 1024 < 1024, F.format_string("%.1f kB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1024**2))
+
+
+def format_ms(ms: Column) -> Column:
+    ms = ms.cast("double")
+    return F.when(ms < 1000, F.format_string("%.1f ms", ms)).otherwise(F.format_string("%.1f s", ms / 1000))
+
+
+def percent(score: Column) -> Column:
+    """A share as a whole percentage, clamped."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 100).cast("int")
 
 
 def status_line(n: Column, seconds: Column, score: Column, review: Column) -> Column:
-    return F.format_string("Grouped %d icons in %.2f s · confidence %d%% · %d groups need review", n, seconds, F.round(score * 100).cast("int"), review)
+    todo = F.when(review == 0, "no groups need review").when(review == 1, "1 group needs review").otherwise(F.format_string("%d groups need review", review))
+    return F.format_string("Grouped %d icons in %.2f s · confidence %d%% · %s", n, seconds, percent(score), todo)

@@ -31,8 +31,9 @@ def score(boxes: DataFrame, sheet: str, width: int, height: int, evidence: DataF
     """One row per sheet: n, the six signals and the score.
 
     evidence has, per sheet: warnings, merges, reg_x, reg_y, n_x, n_y (regularities
-    and valley counts of the axes that aren't a grid; null for a grid) and
-    consensus (null: no background known).
+    and valley counts of the axes that aren't a grid; null for a grid), consensus
+    (null: no background known) and kind, the background's detector; one by
+    k-means or Otsu is uncertain whatever its consensus.
     """
     n = boxes.groupBy(sheet).agg(F.count(F.lit(1)).alias("n"))
     rows = n.join(size_signal(boxes, sheet), sheet).join(border_signal(boxes, sheet, width, height), sheet).join(evidence, sheet, "left")
@@ -42,7 +43,7 @@ def score(boxes: DataFrame, sheet: str, width: int, height: int, evidence: DataF
         "spans": F.least(F.lit(1.0), zero("warnings") / F.col("n")),
         "merge_ratio": ramp(zero("merges") / (F.col("n") + zero("merges")), *MERGE_RAMP),
         "weak_grid": (F.coalesce(weak("reg_x", "n_x"), F.lit(0)) + F.coalesce(weak("reg_y", "n_y"), F.lit(0))) / 2,
-        "background": F.coalesce(ramp(CONSENSUS - F.col("consensus"), 0.0, CONSENSUS), F.lit(0.0)),
+        "background": F.when(F.col("consensus").isNotNull() & F.col("kind").isin("kmeans", "otsu"), 1.0).otherwise(F.coalesce(ramp(CONSENSUS - F.col("consensus"), 0.0, CONSENSUS), F.lit(0.0))),
     })
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     return rows.select(sheet, "n", *WEIGHTS, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total)).alias("score"))

@@ -23,12 +23,13 @@ class SheetSpec:
     margin: int = 8
     columns: int = 16
     ink_ratio: float = 0.80
+    placement: str = "center"  # or "optical", "baseline"
 
     def clamped(self) -> SheetSpec:
         """Values moved into their ranges; a ratio that is no number becomes the default."""
         cell = min(4096, max(8, self.cell))
         ratio = 0.8 if self.ink_ratio != self.ink_ratio else min(1.0, max(0.05, self.ink_ratio))
-        return SheetSpec(cell, min(max(0, self.padding), cell // 2), min(4096, max(0, self.gap)), min(4096, max(0, self.margin)), min(4096, max(1, self.columns)), ratio)
+        return SheetSpec(cell, min(max(0, self.padding), cell // 2), min(4096, max(0, self.gap)), min(4096, max(0, self.margin)), min(4096, max(1, self.columns)), ratio, self.placement)
 
 
 def fit_columns(width: float, spec: SheetSpec) -> int:
@@ -67,7 +68,12 @@ def _clamp(v: Column, lo: float, hi: float) -> Column:
 
 
 def level(laid: DataFrame, sheet: str, spec: SheetSpec) -> DataFrame:
-    """laid (with ink_w, ink_h, stroke, solidity) with scale, x, y, out_w, out_h, flags: each icon against its sheet's medians."""
+    """laid (with ink_w, ink_h, stroke, solidity) with scale, x, y, out_w, out_h, flags: each icon against its sheet's medians.
+
+    Icons stand centred in their cells; with placement "optical" they move by
+    half the way from the ink box's centre to the centroid (columns ink_x, ink_y,
+    cx, cy), with "baseline" their ink stands on the inner box's lower edge.
+    """
     inner = spec.cell - 2 * spec.padding
     target = inner * spec.ink_ratio
     medians = laid.groupBy(sheet).agg(F.median("stroke").alias("_ms"), F.median("solidity").alias("_mo"))
@@ -82,13 +88,18 @@ def level(laid: DataFrame, sheet: str, spec: SheetSpec) -> DataFrame:
     flags = reduce(lambda a, b: a + b, [F.when(c, bit).otherwise(0) for c, bit in bits])
     out = laid.join(medians, sheet).withColumn("scale", scale).withColumn("flags", flags).drop("_ms", "_mo")
     out = out.withColumn("out_w", F.col("ink_w") * F.col("scale")).withColumn("out_h", F.col("ink_h") * F.col("scale"))
-    return out.withColumn("x", F.col("cell_x") + spec.padding + (inner - F.col("out_w")) / 2).withColumn("y", F.col("cell_y") + spec.padding + (inner - F.col("out_h")) / 2)
+    free = {k: F.greatest(inner - F.col(f"out_{k}"), F.lit(0.0)) for k in "wh"}
+    shift = {"x": F.lit(0.0), "y": F.lit(0.0)}
+    if spec.placement == "optical":
+        shift = {k: (F.col(f"ink_{k}") + F.col(f"ink_{side}") / 2 - F.col(f"c{k}")) / 2 for k, side in (("x", "w"), ("y", "h"))}
+    y = free["h"] if spec.placement == "baseline" else free["h"] / 2 + shift["y"]
+    return out.withColumn("x", F.col("cell_x") + spec.padding + free["w"] / 2 + shift["x"]).withColumn("y", F.col("cell_y") + spec.padding + y)
 
 
 def report(leveled: DataFrame, sheet: str) -> DataFrame:
-    """sheet, ink_size_cv, stroke_cv, baseline_spread (the worst grid row), and counts of the flags."""
+    """sheet, ink_size_cv, stroke_cv (of the strokes as measured), baseline_spread (the worst grid row), and counts of the flags."""
     rows = leveled.groupBy(sheet, "row").agg((F.max(F.col("y") + F.col("out_h")) - F.min(F.col("y") + F.col("out_h"))).alias("s")).groupBy(sheet).agg(F.max("s").alias("baseline_spread"))
-    sized = leveled.withColumn("_ink", F.greatest("out_w", "out_h")).withColumn("_stroke", F.col("stroke") * F.col("scale"))
+    sized = leveled.withColumn("_ink", F.greatest("out_w", "out_h"))
     count = lambda bit: F.sum((F.col("flags").bitwiseAND(F.lit(bit)) > 0).cast("int"))
-    main = sized.groupBy(sheet).agg(cv("_ink").alias("ink_size_cv"), cv("_stroke").alias("stroke_cv"), count(OVERFLOW).alias("overflows"), count(STROKE_CLAMPED).alias("stroke_clamped"), count(SOLIDITY_CLAMPED).alias("solidity_clamped"))
+    main = sized.groupBy(sheet).agg(cv("_ink").alias("ink_size_cv"), cv("stroke").alias("stroke_cv"), count(OVERFLOW).alias("overflows"), count(STROKE_CLAMPED).alias("stroke_clamped"), count(SOLIDITY_CLAMPED).alias("solidity_clamped"))
     return main.join(rows, sheet)

@@ -180,10 +180,14 @@ def holes(ink: np.ndarray) -> int:
 
 
 def kmeans_two(values: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Two integer centres after fixed Lloyd rounds from the extremes, and each value's side (ties: the first)."""
+    """Two integer centres after fixed Lloyd rounds, and each value's side (ties: the first).
+
+    The seeds are the first value and the one farthest from it (ties: the largest).
+    """
     v = values.astype(np.int64).reshape(len(values), -1)
-    order = v.sum(axis=1)
-    centres = np.stack([v[np.argmin(order)], v[np.argmax(order)]])
+    away = ((v - v[0]) ** 2).sum(axis=1)
+    far = np.lexsort((*v.T[::-1], away))[-1]
+    centres = np.stack([v[0], v[far]])
     side = np.zeros(len(v), dtype=np.int64)
     for _ in range(rounds):
         side = np.argmin(((v[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)

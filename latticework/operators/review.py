@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def enrich(icons: DataFrame, item: str, clusters: DataFrame, outliers: DataFrame, decisions: DataFrame) -> DataFrame:
-    """icons with cluster, is_keeper, outliers (sorted kinds) and state (pending if undecided); three left joins on the item.
+def enrich(icons: DataFrame, item: str, clusters: DataFrame, outliers: DataFrame, decisions: DataFrame, flags: DataFrame) -> DataFrame:
+    """icons with cluster, is_keeper, outliers and flags (sorted kinds) and state (pending if undecided); left joins on the item.
 
-    clusters: item, cluster, keeper; outliers: item, kind; decisions: item, state.
+    clusters: item, cluster, keeper; outliers and flags: item, kind; decisions: item, state.
     """
     kinds = outliers.groupBy(item).agg(F.array_sort(F.collect_set("kind")).alias("outliers"))
-    out = icons.join(clusters.select(item, "cluster", "keeper"), item, "left").join(kinds, item, "left").join(decisions.select(item, "state"), item, "left")
+    marks = flags.groupBy(item).agg(F.array_sort(F.collect_set("kind")).alias("flags"))
+    out = icons.join(marks, item, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    out = out.join(clusters.select(item, "cluster", "keeper"), item, "left").join(kinds, item, "left").join(decisions.select(item, "state"), item, "left")
     return out.withColumn("is_keeper", F.coalesce(F.col("keeper") == F.col(item), F.lit(False))).withColumn("outliers", F.coalesce("outliers", F.array().cast("array<string>"))).withColumn("state", F.coalesce("state", F.lit("pending"))).drop("keeper")
 
 
 def attention_rank() -> Column:
-    """0 duplicate that isn't kept, 1 flagged, 2 outlier, 3 undecided, 4 decided; of an enriched row."""
-    undecided = F.col("state") == "pending"
-    return F.when(~undecided & (F.col("state") != "flagged"), 4).when(F.col("cluster").isNotNull() & ~F.col("is_keeper"), 0).when(F.col("state") == "flagged", 1).when(F.size("outliers") > 0, 2).otherwise(3)
+    """0 duplicate that isn't kept, 1 with quality flags, 2 outlier, decided or not; else 3 undecided, 4 decided; of an enriched row."""
+    return F.when(F.col("cluster").isNotNull() & ~F.col("is_keeper"), 0).when(F.size("flags") > 0, 1).when(F.size("outliers") > 0, 2).when(F.col("state") == "pending", 3).otherwise(4)
 
 
 TABS = {

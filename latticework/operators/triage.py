@@ -9,7 +9,7 @@ from ..functions.scalars import csv_line
 
 # Actions in their fixed order, with the spellings that name them.
 ACTIONS = ["approve", "reject", "flag", "duplicate", "bulk-approve"]
-ALIASES = {"approve": "approve", "approved": "approve", "a": "approve", "reject": "reject", "rejected": "reject", "r": "reject", "flag": "flag", "flagged": "flag", "f": "flag", "duplicate": "duplicate", "dup": "duplicate", "d": "duplicate", "bulk-approve": "bulk-approve", "bulk": "bulk-approve"}
+ALIASES = {"approve": "approve", "approved": "approve", "a": "approve", "reject": "reject", "rejected": "reject", "r": "reject", "flag": "flag", "flagged": "flag", "f": "flag", "duplicate": "duplicate", "dup": "duplicate", "d": "duplicate", "bulk-approve": "bulk-approve", "bulk_approve": "bulk-approve", "bulk": "bulk-approve", "shift+a": "bulk-approve"}
 STATES = {"approve": "approved", "bulk-approve": "approved", "reject": "rejected", "flag": "flagged", "duplicate": "duplicate"}
 
 
@@ -74,10 +74,19 @@ def journal_line(action: Column, index: Column, seq: Column, at: Column) -> Colu
 
 
 def parse_journal(df: DataFrame, line: str) -> DataFrame:
-    """df with kind, action, index, seq, at of a journal line; foreign lines give nulls."""
-    ours = F.col(line).rlike("^review/(apply|undo) ")
-    field = lambda k: F.when(ours, F.nullif(F.regexp_extract(line, rf"(?:^| ){k}=(\S+)", 1), F.lit("")))
-    return df.withColumns({"kind": F.when(ours, F.regexp_extract(line, "^review/(apply|undo) ", 1)), "action": field("action"), "index": field("index").cast("int"), "seq": field("seq").cast("long"), "at": field("at").cast("long")})
+    """df with kind, action, index, seq, at of a journal line; a foreign line, or one with any field missing or bad, gives nulls.
+
+    The line is trimmed; of fields named twice the last counts; numbers are whole and unsigned (index up to 32 bits, seq and at up to 63).
+    """
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    fields = F.slice(F.split(text, r"\s+"), 2, 1 << 20)
+    value = lambda k: F.try_element_at(F.filter(fields, lambda f: f.startswith(f"{k}=")), F.lit(-1))
+    text_of = lambda k: F.substring(value(k), len(k) + 2, 1 << 20)
+    number = lambda k: F.when(text_of(k).rlike(r"^\+?\d+$"), text_of(k).try_cast("long"))
+    action, index, seq, at = text_of("action"), number("index"), number("seq"), number("at")
+    apply = text.startswith("review/apply") & action.isin(ACTIONS) & (index < 1 << 32) & seq.isNotNull() & at.isNotNull()
+    undo = text.startswith("review/undo") & at.isNotNull()
+    return df.withColumns({"kind": F.when(undo, "undo").when(apply, "apply"), "action": F.when(apply, action), "index": F.when(apply, index), "seq": F.when(apply, seq), "at": F.when(apply | undo, at)})
 
 
 def validate(events: DataFrame, session: str, order: list[str], action: str, recorded: str) -> DataFrame:

@@ -22,6 +22,10 @@ from ..sources import library as Y
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHEET, SIDE = 512, 4096
+#: Pairs of boxes up to so far apart are described.
+REACH = 32
+#: Planes are compared within their label; bands of 16 bits.
+BANDS = 4
 SPEC = V.SheetSpec()
 
 
@@ -73,7 +77,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """LSH candidates with both planes."""
     p = planes(spark, d)
-    found = P.lsh_candidates(p, [], "vec_id", ["a", "dh"], 8)
+    found = P.lsh_candidates(p, ["label"], "vec_id", ["a", "dh"], BANDS).drop("label")
     u = p.select("vec_id", "u")
     return found.join(u.withColumnsRenamed({"vec_id": "a", "u": "ua"}), "a").join(u.withColumnsRenamed({"vec_id": "b", "u": "ub"}), "b")
 
@@ -84,8 +88,9 @@ def review_rows(spark: SparkSession, d: str) -> DataFrame:
     first = docs.groupBy("h").agg(F.min("doc_id").alias("cluster"), F.count(F.lit(1)).alias("n")).where("n > 1")
     clusters = docs.join(first, "h").select("doc_id", "cluster", F.col("cluster").alias("keeper"))
     out = Z.outlier_scan(docs, [], ["doc_id"], ["n_chars"]).select("doc_id", F.col("metric").alias("kind"))
+    flags = t(spark, d, "labels").where("quality = 0").select("doc_id", F.lit("low_composite").alias("kind"))
     states = t(spark, d, "labels").select("doc_id", F.expr("case when toxic = 1 then 'flagged' when quality = 0 then 'rejected' when doc_id % 3 = 0 then 'approved' else 'pending' end").alias("state"))
-    return R.enrich(docs.drop("h"), "doc_id", clusters, out, states)
+    return R.enrich(docs.drop("h"), "doc_id", clusters, out, states, flags)
 
 
 @query
@@ -133,7 +138,7 @@ def band_keys(spark, d):
 
 @query
 def lsh_candidates(spark, d):
-    return P.lsh_candidates(planes(spark, d), [], "vec_id", ["a", "dh"], 8)
+    return P.lsh_candidates(planes(spark, d), ["label"], "vec_id", ["a", "dh"], BANDS).drop("label")
 
 
 @query
@@ -231,7 +236,7 @@ def box_merge_groups(spark, d):
 @query
 def box_pair_geometry(spark, d):
     b = boxes(spark, d)
-    p = b.select("sheet", *[F.col(k).alias(f"a_{k}") for k in ("id", "x", "y", "w", "h")]).join(b.select("sheet", *[F.col(k).alias(f"b_{k}") for k in ("id", "x", "y", "w", "h")]), "sheet").where("a_id < b_id")
+    p = B.near_pairs(b, "sheet", "id", REACH)
     return p.select("sheet", F.col("a_id").alias("a"), F.col("b_id").alias("b"), B.gap("a_", "b_").cast("long").alias("gap"), S.round6(B.iou("a_", "b_")).alias("iou"), B.intersects("a_", "b_").alias("meets"))
 
 
@@ -300,7 +305,7 @@ def confidence_score(spark, d):
     merges = B.merge_pairs(b, "sheet", "id").where("rule like 'R%'").groupBy("sheet").agg(F.count(F.lit(1)).alias("merges"))
     reg = L.regularity(L.valleys(L.profile(b, "sheet"), "sheet"), "sheet").select("sheet", F.col("regularity").alias("reg_x"), F.col("n_valleys").alias("n_x"))
     ev = b.groupBy("sheet").agg(F.sum((F.col("w") >= 50).cast("int")).alias("warnings"), (F.min("x") / 100.0).alias("consensus"))
-    ev = ev.join(merges, "sheet", "left").join(reg, "sheet", "left").withColumns({"reg_y": F.lit(None).cast("double"), "n_y": F.lit(None).cast("int")})
+    ev = ev.join(merges, "sheet", "left").join(reg, "sheet", "left").withColumns({"reg_y": F.lit(None).cast("double"), "n_y": F.lit(None).cast("int"), "kind": F.when(F.col("sheet") % 16 == 0, "otsu").when(F.col("sheet") % 16 == 1, "kmeans").otherwise("border")})
     out = C.score(b, "sheet", SIDE, SIDE, ev)
     return out.select("sheet", "n", *[S.round6(c).alias(c) for c in (*C.WEIGHTS, "score")])
 
@@ -337,7 +342,7 @@ def manifest_rows(spark, d):
     rows = V.grid_layout(icons(spark, d), "sheet", ["id"], SPEC)
     name = S.expand_pattern("{sheet}-{index:03}-{row}{nope}", {"sheet": S.slugify(F.col("sheet")), "index": F.col("index") + 1, "row": F.col("row")})
     area = F.col("ink_w") * F.col("ink_h")
-    return rows.select("id", name.alias("name"), S.slugify(F.col("name")).alias("slug"), S.derive_tags(area, F.col("stroke"), F.col("solidity"), F.greatest("ink_w", "ink_h")).alias("tags"), S.format_number(F.col("solidity") * F.col("ink_w") / 3).alias("ink"))
+    return rows.select("id", name.alias("name"), S.slugify(F.col("name")).alias("slug"), S.derive_tags(F.lit("mono-clean"), area, F.col("stroke"), F.col("solidity"), F.greatest("ink_w", "ink_h")).alias("tags"), S.format_number(F.col("solidity") * F.col("ink_w") / 3).alias("ink"))
 
 
 @query
@@ -390,7 +395,13 @@ def triage_states(spark, d):
 def journal_parse(spark, d):
     e = triage_events(spark, d)
     lines = e.select("event_id", T.journal_line(F.col("action"), F.col("icon"), F.col("event_id"), F.col("at")).alias("line"))
-    lines = lines.withColumn("line", F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("x"), "line")).otherwise(F.col("line")))
+    # foreign lines, fields that are missing, bad, padded and named twice
+    odd = F.col("event_id") % 50
+    cases = [(0, F.concat(F.lit("x"), "line")), (1, F.replace("line", F.lit(" at="), F.lit(" when="))), (2, F.replace("line", F.lit("index="), F.lit("index=-"))), (3, F.concat(F.lit("  "), F.replace("line", F.lit(" "), F.lit("   ")), F.lit("\t"))), (4, F.concat("line", F.lit(" at=7"))), (5, F.replace("line", F.lit("action=f"), F.lit("action=F")))]
+    changed = F.col("line")
+    for k, to in cases:
+        changed = F.when(odd == k, to).otherwise(changed)
+    lines = lines.withColumn("line", changed)
     return T.parse_journal(lines, "line")
 
 
@@ -416,7 +427,7 @@ def next_undecided(spark, d):
 
 @query
 def review_enrichment(spark, d):
-    return review_rows(spark, d).select("doc_id", "cluster", "is_keeper", F.array_join("outliers", ",").alias("outliers"), "state")
+    return review_rows(spark, d).select("doc_id", "cluster", "is_keeper", F.array_join("outliers", ",").alias("outliers"), F.array_join("flags", ",").alias("flags"), "state")
 
 
 @query

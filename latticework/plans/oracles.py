@@ -12,8 +12,8 @@ PLANES = """planes as (select vec_id, label, list_transform(embedding, lambda v:
 hashes as (select *, cast(list_sum(list_transform(range(64), lambda k: case when u[k + 1] > list_sum(u) // 64 then cast(1 as hugeint) << k else 0 end)) as ubigint) a,
  cast(list_sum(list_transform(range(64), lambda k: case when u[k // 8 * 8 + (k % 8) * 8 // 9 + 1] > u[k // 8 * 8 + (k % 8 + 1) * 8 // 9 + 1] then cast(1 as hugeint) << k else 0 end)) as ubigint) dh from planes)"""
 
-CAND = """bands as (select vec_id, 'a' kind, b, (a >> cast(8 * b as ubigint)) & 255 k from hashes, range(8) r(b) union all select vec_id, 'd', b, (dh >> cast(8 * b as ubigint)) & 255 from hashes, range(8) r(b)),
-cand as (select distinct p.vec_id a, q.vec_id b from bands p join bands q on p.kind = q.kind and p.b = q.b and p.k = q.k and p.vec_id < q.vec_id),
+CAND = """bands as (select vec_id, 'a' kind, b, (a >> cast(16 * b as ubigint)) & 65535 k, label from hashes, range(4) r(b) union all select vec_id, 'd', b, (dh >> cast(16 * b as ubigint)) & 65535, label from hashes, range(4) r(b)),
+cand as (select distinct p.vec_id a, q.vec_id b from bands p join bands q on p.kind = q.kind and p.b = q.b and p.k = q.k and p.label = q.label and p.vec_id < q.vec_id),
 pairs as (select c.a, c.b, p.u ua, q.u ub from cand c join planes p on p.vec_id = c.a join planes q on q.vec_id = c.b)"""
 
 IOU = "(case when list_sum(list_transform(range(1, 65), lambda i: case when ua[i] >= 128 or ub[i] >= 128 then 1 else 0 end)) = 0 then 1.0::double else list_sum(list_transform(range(1, 65), lambda i: case when ua[i] >= 128 and ub[i] >= 128 then 1 else 0 end))::double / list_sum(list_transform(range(1, 65), lambda i: case when ua[i] >= 128 or ub[i] >= 128 then 1 else 0 end)) end)"
@@ -57,8 +57,8 @@ clus as (select doc_id, min(doc_id) over (partition by h) cluster, count(*) over
 m1 as (select median(n_chars::double) m from docs), m2 as (select median(abs(n_chars - m)) mad from docs, m1),
 outl as (select doc_id from docs, m1, m2 where abs(0.6745 * (n_chars - m) / mad) > 3.5),
 st as (select doc_id, case when toxic = 1 then 'flagged' when quality = 0 then 'rejected' when doc_id % 3 = 0 then 'approved' else 'pending' end state from labels),
-rev as (select d.doc_id, d.source, c.cluster, coalesce(c.cluster = d.doc_id, false) is_keeper, case when o.doc_id is null then '' else 'n_chars' end outliers, coalesce(s.state, 'pending') state
- from docs d left join clus c using (doc_id) left join outl o using (doc_id) left join st s using (doc_id))"""
+rev as (select d.doc_id, d.source, c.cluster, coalesce(c.cluster = d.doc_id, false) is_keeper, case when o.doc_id is null then '' else 'n_chars' end outliers, case when f.doc_id is null then '' else 'low_composite' end flags, coalesce(s.state, 'pending') state
+ from docs d left join clus c using (doc_id) left join outl o using (doc_id) left join st s using (doc_id) left join (select distinct doc_id from labels where quality = 0) f using (doc_id))"""
 
 MERGE = (
     BOXES
@@ -107,8 +107,8 @@ SQL = {
     "dup_composite": f"with {PLANES}, {CAND}, {STATS} select a, b, round(mae, 6) mae, round(0.5 * ssim + 0.3::double * (1 - mae) + 0.2::double * {IOU}, 6) composite from sim",
     "cascade_funnel": f"with {PLANES}, {CAND}, {STATS} select count(*) candidates, coalesce(sum(case when {IOU} >= 0.5 then 1 else 0 end), 0)::bigint verified, coalesce(sum(case when {IOU} >= 0.5 and ssim >= 0.25 then 1 else 0 end), 0)::bigint confirmed from sim",
     "dup_clusters": "select min(doc_id) cluster, arg_min(doc_id, struct_pack(s := -(n_chars + doc_id % 7), d := doc_id)) keeper, string_agg(doc_id::varchar, ',' order by doc_id) members from documents group by text having count(*) > 1",
-    "shared_part_components": """with recursive li as (select distinct l_suppkey s, l_partkey p from lineitem where l_partkey % 16 = 0), e as (select distinct a.s u, b.s v from li a join li b on a.p = b.p and a.s <> b.s),
- reach as (select u node, u r from e union select e.v, reach.r from reach join e on e.u = reach.node) select node, min(r) component from reach group by 1""",
+    "shared_part_components": """with recursive li as (select distinct l_suppkey s, l_partkey p from lineitem), few as (select p, min(s) m from li group by 1), e as (select distinct s u, m v from li join few using (p) where s <> m), both_ways as (select u, v from e union select v, u from e),
+ reach as (select u node, u r from both_ways union select b.v, reach.r from reach join both_ways b on b.u = reach.node where reach.r < b.v) select node, min(r) component from reach group by 1""",
     "dedupe_import": "select doc_id, sha256(text) content_hash, case when row_number() over (partition by text order by doc_id) = 1 then 'imported' else 'duplicate' end outcome from documents",
     "import_counts": "select outcome, count(*) n from (select case when row_number() over (partition by html order by page_id) = 1 then 'imported' else 'duplicate' end outcome from pages) group by 1",
     "library_page": "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 25 offset 40",
@@ -125,7 +125,7 @@ SQL = {
  select sheet, r id, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h, cast(sum(w::bigint * h) as bigint) area, count(*) members from boxes join root on node = id group by sheet, r""",
     "box_pair_geometry": f"""with {BOXES} select p.sheet, p.id a, q.id b, cast(greatest(p.x - (q.x + q.w), q.x - (p.x + p.w), p.y - (q.y + q.h), q.y - (p.y + p.h), 0) as bigint) gap,
  round(i::double / (p.w * p.h + q.w * q.h - i), 6) iou, p.x < q.x + q.w and q.x < p.x + p.w and p.y < q.y + q.h and q.y < p.y + p.h meets
- from (select p, q, greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) i from boxes p join boxes q on p.sheet = q.sheet and p.id < q.id where p.sheet < 8)""",
+ from (select p, q, greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) i from boxes p join boxes q on p.sheet = q.sheet and p.id < q.id and p.x - (q.x + q.w) <= 32 and q.x - (p.x + p.w) <= 32 and p.y - (q.y + q.h) <= 32 and q.y - (p.y + p.h) <= 32)""",
     "containment_parent": f"""with {BOXES} select c.sheet, c.id, arg_min(p.id, struct_pack(a := p.w * p.h, i := p.id)) parent from boxes c join boxes p on c.sheet = p.sheet and p.x <= c.x and p.y <= c.y and p.x + p.w >= c.x + c.w and p.y + p.h >= c.y + c.h
  and (p.w > c.w or p.h > c.h) and p.w * p.h > c.w * c.h and (p.x < c.x or (p.x = c.x and p.id < c.id)) group by 1, 2""",
     "marquee_select": f"""with {BOXES} select sheet, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h, cast(sum(w::bigint * h) as bigint) area, count(*) members from boxes
@@ -151,38 +151,41 @@ SQL = {
  sz as (select b.sheet, median(abs(least(w, h) - m)) mad from boxes b join b0 using (sheet) group by 1),
  sg as (select b0.sheet, n, least(1.0::double, warnings::double / n) spans, greatest(0.0::double, least(1.0::double, (coalesce(merges, 0)::double / (n + coalesce(merges, 0)) - 0.25) / 0.5)) merge_ratio,
  greatest(0.0::double, least(1.0::double, (mad / m - 0.35::double) / (0.70::double - 0.35::double))) size_mad, border_touch, (case when regularity between 0.35 and 0.75 and n_valleys >= 2 then 1 else 0 end) / 2.0::double weak_grid,
- greatest(0.0::double, least(1.0::double, (0.85::double - consensus) / 0.85::double)) background from b0 join sz using (sheet) left join mg using (sheet) left join reg using (sheet))
+ case when b0.sheet % 16 < 2 then 1.0::double else greatest(0.0::double, least(1.0::double, (0.85::double - consensus) / 0.85::double)) end background from b0 join sz using (sheet) left join mg using (sheet) left join reg using (sheet))
  select sheet, n, round(spans, 6) spans, round(merge_ratio, 6) merge_ratio, round(size_mad, 6) size_mad, round(border_touch, 6) border_touch, round(weak_grid, 6) weak_grid, round(background, 6) background,
  round(greatest(0.0::double, least(1.0::double, 1 - (spans * 0.3::double + merge_ratio * 0.2::double + size_mad * 0.15::double + border_touch * 0.15::double + weak_grid * 0.1::double + background * 0.1::double))), 6) score from sg""",
     "level_icons": f"with {LEVEL} select sheet, id, round(scale, 6) scale, round(px, 6) x, round(py, 6) y, flags from fin",
     "level_report": f"""with {LEVEL}, rw as (select sheet, max(s) baseline_spread from (select sheet, rw, max(py + ink_h * scale) - min(py + ink_h * scale) s from fin group by 1, 2) group by 1)
- select f.sheet, round(stddev_pop(greatest(ink_w, ink_h) * scale) / avg(greatest(ink_w, ink_h) * scale), 6) ink_size_cv, round(stddev_pop(stroke * scale) / avg(stroke * scale), 6) stroke_cv, round(any_value(baseline_spread), 6) baseline_spread,
+ select f.sheet, round(stddev_pop(greatest(ink_w, ink_h) * scale) / avg(greatest(ink_w, ink_h) * scale), 6) ink_size_cv, round(stddev_pop(stroke) / avg(stroke), 6) stroke_cv, round(any_value(baseline_spread), 6) baseline_spread,
  sum(flags & 1)::bigint overflows, sum(flags // 2 % 2)::bigint stroke_clamped, sum(flags // 4 % 2)::bigint solidity_clamped from fin f join rw using (sheet) group by 1""",
     "grid_layout": f'with {LAID} select sheet, id, cast(col as int) as "col", cast(rw as int) as "row", cast(cell_x as int) cell_x, cast(cell_y as int) cell_y from laid',
     "sheet_size": f"""with {ICONS}, s as (select sheet, count(*) n, cast(least(16, count(*)) as int) c from icons group by 1) select sheet, n, c as "columns", cast(ceil(n / c) as int) as "rows", c * 64 + (c - 1) * 8 + 16 width, cast(ceil(n / c) as int) * 64 + (cast(ceil(n / c) as int) - 1) * 8 + 16 height from s""",
     "grid_position": 'select p_partkey id, cast(p_partkey // 7 + 1 as int) as "row", cast(p_partkey % 7 + 1 as int) as "col" from part',
     "manifest_rows": f"""with {LAID} select id, trim(regexp_replace(lower(sheet), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') || '-' || lpad((idx + 1)::varchar, cast(greatest(3, length((idx + 1)::varchar)) as int), '0') || '-' || rw::varchar || '{{nope}}' as "name",
- trim(regexp_replace(lower(nm), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') slug, (case when solidity >= 0.85 then 'solid' when solidity <= 0.6 then 'hollow' else 'mixed' end) || ' ' || (case when stroke / greatest(ink_w, ink_h) <= 0.15 then 'thin' when stroke / greatest(ink_w, ink_h) >= 0.3 then 'thick' else 'even' end) tags,
+ trim(regexp_replace(lower(nm), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') slug, (case when solidity >= 0.85 then 'solid' when solidity <= 0.6 then 'hollow' else 'mixed' end) || ' ' || (case when stroke / greatest(ink_w, ink_h) <= 0.15 then 'thin' when stroke / greatest(ink_w, ink_h) >= 0.3 then 'thick' else 'even' end) || case when ink_w * ink_h = 0 then ' empty' else ' ink' end || ' mono-clean' tags,
  regexp_replace(regexp_replace(printf('%.3f', solidity * ink_w / 3), '0+$', ''), '\\.$', '') ink from laid""",
-    "csv_quote": """select page_id, case when f like '%,%' or f like '%"%' or f like '%' || chr(10) || '%' or f like '%' || chr(13) || '%' or f like ' %' or f like '% ' then '"' || replace(f, '"', '""') || '"' else f end field from (select page_id, substr(html, 1, 4000) f from pages)""",
+    "csv_quote": """select page_id, case when f like '%,%' or f like '%"%' or f like '%' || chr(10) || '%' or f like '%' || chr(13) || '%' or f like ' %' or f like '% ' then '"' || replace(f, '"', '""') || '"' else f end field from (select page_id, html f from pages)""",
     "grades": f"with {ICONS} select case when solidity >= 0.97 then 'excellent' when solidity >= 0.92 then 'good' when solidity >= 0.85 then 'fair' else 'poor' end grade, count(*) n from icons group by 1",
     "hex_colours": f"with {ICONS} select id, printf('#%02x%02x%02x', cast(id % 256 as int), ink_w, ink_h) colour, concat_ws(',', (id % 256)::varchar, ink_w::varchar, ink_h::varchar, '255') rgba from icons",
-    "format_sizes": "select doc_id, case when n < 1024 then printf('%.0f B', n) when n < 1048576 then printf('%.1f KB', round(n / 1024, 1)) when n < 1073741824 then printf('%.1f MB', round(n / 1048576, 1)) else printf('%.2f GB', round(n / 1073741824, 2)) end as \"size\" from (select doc_id, (n_chars * n_chars)::double n from documents)",
+    "format_sizes": "select doc_id, case when n < 1024 then printf('%.0f B', n) when n < 1048576 then printf('%.1f kB', round(n / 1024, 1)) else printf('%.1f MB', round(n / 1048576, 1)) end as \"size\" from (select doc_id, (n_chars * n_chars)::double n from documents)",
+    "xml_text": """select item_id, list_aggregate(list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace('<a b="''é''">&' || chr(10) || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'), '[\\x00-\\x1F]', ' ', 'g'), ''), lambda c: case when unicode(c) > 127 then printf('&#x%X;', unicode(c)) else c end), 'string_agg', '') "xml" from benchmark""",
     "triage_replay": f'with {REPLAY} select user_id, icon, action, seq, "at" from dec',
     "triage_counts": f"""with {REPLAY}, acts(ord, action) as (values (0, 'approve'), (1, 'reject'), (2, 'flag'), (3, 'duplicate'), (4, 'bulk-approve')) select u.user_id, cast(ord as int) ord, acts.action, count(dec.user_id) n
  from (select distinct user_id from dec) u cross join acts left join dec on dec.user_id = u.user_id and dec.action = acts.action group by all""",
     "triage_csv": f"""with {REPLAY} select user_id, 'seq,id,action,at_ms' || chr(13) || chr(10) || string_agg(concat_ws(',', seq::varchar, icon::varchar, action, "at"::varchar) || chr(13) || chr(10), '' order by seq) csv from dec group by 1""",
     "triage_states": f"with {REPLAY} select user_id, icon, case action when 'approve' then 'approved' when 'reject' then 'rejected' when 'flag' then 'flagged' when 'duplicate' then 'duplicate' end state from dec",
-    "journal_parse": f"""with {EVENTS}, l as (select event_id, event_id % 50 = 0 alien, action, icon, at_ms, case when action = 'undo' then 'review/undo at=' || at_ms::varchar else 'review/apply action=' || action || ' index=' || icon::varchar || ' seq=' || event_id::varchar || ' at=' || at_ms::varchar end line from ev)
- select event_id, case when alien then 'x' || line else line end line, case when alien then null when action = 'undo' then 'undo' else 'apply' end kind, case when alien or action = 'undo' then null else action end as action, case when alien or action = 'undo' then null else icon end as "index",
- case when alien or action = 'undo' then null else event_id end seq, case when alien then null else at_ms end as "at" from l""",
+    "journal_parse": f"""with {EVENTS}, l as (select event_id, event_id % 50 o, action, icon, at_ms, case when action = 'undo' then 'review/undo at=' || at_ms::varchar else 'review/apply action=' || action || ' index=' || icon::varchar || ' seq=' || event_id::varchar || ' at=' || at_ms::varchar end line from ev),
+ m as (select *, o in (0, 1) or (action <> 'undo' and o = 2) or (action = 'flag' and o = 5) bad from l)
+ select event_id, case o when 0 then 'x' || line when 1 then replace(line, ' at=', ' when=') when 2 then replace(line, 'index=', 'index=-') when 3 then '  ' || replace(line, ' ', '   ') || chr(9) when 4 then line || ' at=7' when 5 then replace(line, 'action=f', 'action=F') else line end line,
+ case when bad then null when action = 'undo' then 'undo' else 'apply' end kind, case when bad or action = 'undo' then null else action end as action, case when bad or action = 'undo' then null else icon::bigint end as "index",
+ case when bad or action = 'undo' then null else event_id end seq, case when bad then null when o = 4 then 7 else at_ms end as "at" from m""",
     "journal_validate": f"""with {EVENTS}, s as (select *, sum(case when action = 'undo' then -1 else 1 end) over w d, sum(case when action = 'undo' then 0 else 1 end) over w - 1 q from ev window w as (partition by user_id order by ts, event_id rows unbounded preceding))
  select user_id, min(d) < 0 undo_on_empty, coalesce(bool_or(action <> 'undo' and event_id % 97 = 0), false) seq_mismatch from s group by 1 having min(d) < 0 or coalesce(bool_or(action <> 'undo' and event_id % 97 = 0), false)""",
-    "attention_order": f"with {REVIEW} select doc_id, case when state not in ('pending', 'flagged') then 4 when cluster is not null and not is_keeper then 0 when state = 'flagged' then 1 when outliers <> '' then 2 else 3 end as \"rank\" from rev",
+    "attention_order": f"with {REVIEW} select doc_id, case when cluster is not null and not is_keeper then 0 when flags <> '' then 1 when outliers <> '' then 2 when state = 'pending' then 3 else 4 end as \"rank\" from rev",
     "filter_counts": f"""with {REVIEW} select 'all' tab, count(*) n from rev union all select 'pending', count(*) from rev where state = 'pending' union all select 'done', count(*) from rev where state <> 'pending' union all select 'flagged', count(*) from rev where state = 'flagged'
  union all select 'duplicates', count(*) from rev where cluster is not null union all select 'outliers', count(*) from rev where outliers <> ''""",
     "next_undecided": f"with {REVIEW} select doc_id, min(case when state = 'pending' then doc_id end) over (partition by source order by doc_id rows between 1 following and unbounded following) next_item from rev",
-    "review_enrichment": f"with {REVIEW} select doc_id, cluster, is_keeper, outliers, state from rev",
+    "review_enrichment": f"with {REVIEW} select doc_id, cluster, is_keeper, outliers, flags, state from rev",
     "border_histogram": f"with {PLANES} select label, bin, count(*) n from (select label, unnest(u) bin from planes) group by all",
     "otsu_threshold": f"""with {PLANES}, hist as (select label, bin, count(*) n from (select label, unnest(u) bin from planes) group by all), c as (select *, sum(n) over w cw, sum(n * bin) over w cs, sum(n) over (partition by label) cn, sum(n * bin) over (partition by label) ct from hist window w as (partition by label order by bin rows unbounded preceding)),
  v as (select label, bin, (cs * cn - ct * cw)::double * (cs * cn - ct * cw)::double / (cw * (cn - cw))::double v from c where cw < cn) select label, arg_max(bin, struct_pack(v := v, b := -bin)) threshold from v group by 1""",

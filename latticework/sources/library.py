@@ -44,10 +44,11 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedupe_import(rows: DataFrame, content: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
-    """rows with content_hash and outcome: imported for the first row (in `order`) of content that `existing` lacks, else duplicate."""
+    """rows with content_hash and outcome: imported for the first row (in `order`, which tells rows apart) of content that `existing` lacks, else duplicate."""
     hashed = rows.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256))
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy(*order)) == 1
-    hashed = hashed.withColumn("_first", first)
+    # the first of equal contents is a minimum, combined before its shuffle, and joined back
+    first = hashed.groupBy(F.col("content_hash").alias("_h")).agg(F.min(F.struct(*order)).alias("_least"))
+    hashed = hashed.join(first, F.col("content_hash").eqNullSafe(F.col("_h"))).withColumn("_first", F.struct(*order) == F.col("_least")).drop("_h", "_least")
     if existing is not None:
         known = existing.select("content_hash", F.lit(True).alias("_known")).distinct()
         hashed = hashed.join(known, "content_hash", "left")

@@ -34,6 +34,10 @@ def test_query_matches_sql(spark, duck, sf, name):
     assert got == sorted(tuple(repr(plain(r[k])) for k in at) for r in rows.fetchall())
 
 
+def test_every_query_has_sql():
+    assert sorted(SQL) == sorted(QUERIES)
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
