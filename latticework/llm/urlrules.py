@@ -113,11 +113,20 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", least:
     n, n_bad = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if not 0 < n_bad < n:
         return rows.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support long")
-    bad = rows.where("b > 0").select("tokens", F.explode(F.sequence(F.lit(1), F.col("b").cast("int"))))
-    sets = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (least - 0.5) / n_bad)).fit(bad.select("tokens")).freqItemsets.where(F.col("freq") >= least)
-    parent = lambda x: F.exists("antecedent", lambda y: y.startswith("host=") & y.endswith(F.concat(F.lit("."), F.substring(x, 6, 1 << 20))))
-    sets = sets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("support"))
-    sets = checkpoint(sets.where(~F.exists("antecedent", lambda x: x.startswith("host=") & parent(x))))
+    # one basket for each host suffix of a bad url and one for none: a name stands for its parents', so they never meet in a set
+    is_host = lambda x: x.startswith("host=")
+    bad = rows.where("b > 0").select("b", F.explode(F.concat(F.array(F.lit("")), F.filter("tokens", is_host))).alias("h"), F.filter("tokens", lambda x: ~is_host(x)).alias("rest"))
+    head = F.concat(F.lpad(F.length("h").cast("string"), 9, "0"), F.col("h"))
+    bad = checkpoint(bad.select("h", F.transform("rest", lambda x: F.concat(head, x)).alias("items"), F.explode(F.sequence(F.lit(1), F.col("b").cast("int")))))
+    whole = bad.where(F.size("items") > 0).count()
+    sets = bad.where("h != ''").groupBy("h").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least).select(F.array("h").alias("antecedent"), "support")
+    if whole:
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / whole)).fit(bad.where(F.size("items") > 0).select("items")).freqItemsets
+        size = F.substring(F.col("items")[0], 1, 9).cast("int")
+        parts = found.where(F.col("freq") >= least).withColumn("n", size).withColumn("h", F.expr("substring(items[0], 10, n)"))
+        names = F.expr("transform(items, x -> substring(x, 10 + n))")
+        sets = sets.unionByName(parts.select(F.array_sort(F.filter(F.concat(F.array("h"), names), lambda x: x != "")).alias("antecedent"), F.col("freq").alias("support")))
+    sets = checkpoint(sets)
     held = _fitting(rows.select("url", "tokens"), sets).join(rows.select(F.col("url").alias("u"), "n"), F.col("url") == F.col("u")).groupBy("rule").agg(F.sum("n").alias("n"))
     sure = F.col("rule.support") / F.col("n")
     rules = held.select("rule.antecedent", sure.alias("confidence"), (sure * (n / n_bad)).alias("lift"), "rule.support")
