@@ -418,7 +418,7 @@ def test_held_out_labels_teach_nothing(spark, docs, labels):
 # op5
 
 
-def test_vptree(spark):
+def test_vptree(spark, monkeypatch):
     r = np.random.default_rng(1)
     x = r.normal(size=(700, 12)) * r.random((700, 1))
     x[100:130] = x[100]
@@ -432,11 +432,33 @@ def test_vptree(spark):
         want += [(q, n + 1, int(k)) for n, k in enumerate(best)]
     assert [(g.query_id, g.rank, g.vec_id) for g in got] == want
     few = df.where("vec_id < 3")
+    # several shards, and shards of several parts: exact with factor 1, equal vectors and repeated ids too
+    for shard, ahead in ((64, 2), (20, 1), (300, 1)):
+        monkeypatch.setattr(vptree, "SHARD", shard)
+        monkeypatch.setattr(vptree, "AHEAD", ahead)
+        got = vptree.nearest(df, df.where("vec_id % 20 = 0"), 7, 1.0).orderBy("query_id", "rank").collect()
+        assert [(g.query_id, g.rank, g.vec_id) for g in got] == want
     assert vptree.nearest(few, few, 20).count() == 6
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_vptree_recall(spark, sf):
+def test_vptree_equal_vectors(spark, monkeypatch):
+    """One vector in most rows: its smallest ids come first, whatever the shards."""
+    monkeypatch.setattr(vptree, "SHARD", 50)
+    rows = [(k, [1.0, 0.0, 2.0]) for k in range(400)] + [(400 + k, [float(k), 1.0, 0.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(df, df.where("vec_id in (3, 300)"), 5, 1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    far = [(459 - k, float(59 - k)) for k in range(5)]
+    assert got == {3: far, 300: far}
+    near = vptree.nearest(df.where("vec_id < 400"), df.where("vec_id in (3, 300)"), 5, 1.0).collect()
+    assert sorted((r.query_id, r.vec_id) for r in near) == [(3, 0), (3, 1), (3, 2), (3, 4), (3, 5), (300, 0), (300, 1), (300, 2), (300, 3), (300, 4)]
+
+
+@pytest.mark.parametrize("shard", [8192, 50])
+def test_vptree_recall(spark, sf, monkeypatch, shard):
+    monkeypatch.setattr(vptree, "SHARD", shard)
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     exact, near = ({(r.query_id, r.vec_id) for r in vptree.nearest(v, v.where("vec_id % 20 = 0"), 20, f).collect()} for f in (1.0, 1.2))
     assert len(exact & near) >= 0.9 * len(exact)
