@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import texts as X
 from ..operators import boxes as B
 from ..operators import confidence as C
+from ..operators import editor as E
 from ..operators import lattice as L
 from ..operators import leveling as V
+from ..operators import manifest as M
 from ..operators import planes as P
 from ..operators import review as R
 from ..operators import robust as Z
@@ -337,12 +340,224 @@ def grid_position(spark, d):
     return icons(spark, d).select("id", V.grid_position(F.col("id") + 1, 7).alias("p")).select("id", "p.row", "p.col")
 
 
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The leveled icons of the brand sheets as manifest rows."""
+    out = V.level(V.grid_layout(icons(spark, d), "sheet", ["id"], SPEC), "sheet", SPEC)
+    names = F.array(*[F.lit(p[0]) for p in X.PRESETS])
+    out = out.withColumns({"index": F.col("index") + 1, "stem": F.col("sheet"), "preset": F.element_at(names, (F.col("id") % 7 + 1).cast("int")), "colours": F.col("id") % 5 + 1, "area": F.floor(F.col("ink_w") * F.col("ink_h") * F.col("solidity") + 0.5).cast("long") * (F.col("id") % 9 != 0).cast("int"), "id_hex": F.lpad(F.lower(F.hex("id")), 32, "0")})
+    return M.rows(out, SPEC.columns, "{sheet}-{index:03}-{row}{nope}{preset}")
+
+
 @query
 def manifest_rows(spark, d):
-    rows = V.grid_layout(icons(spark, d), "sheet", ["id"], SPEC)
-    name = S.expand_pattern("{sheet}-{index:03}-{row}{nope}", {"sheet": S.slugify(F.col("sheet")), "index": F.col("index") + 1, "row": F.col("row")})
-    area = F.col("ink_w") * F.col("ink_h")
-    return rows.select("id", name.alias("name"), S.slugify(F.col("name")).alias("slug"), S.derive_tags(F.lit("mono-clean"), area, F.col("stroke"), F.col("solidity"), F.greatest("ink_w", "ink_h")).alias("tags"), S.format_number(F.col("solidity") * F.col("ink_w") / 3).alias("ink"))
+    return manifest(spark, d).drop("position")
+
+
+@query
+def manifest_csv(spark, d):
+    return M.to_csv(manifest(spark, d), ["index", " Name", "TAGS", "file", "ink", "id"], ";")
+
+
+@query
+def missing_artwork(spark, d):
+    """Icons of the part table whose number no line item has."""
+    art = t(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
+    return M.missing_artwork(icons(spark, d).select("id", "sheet"), art, "id")
+
+
+@query
+def review_texts(spark, d):
+    """The texts of a review, of each part as an icon."""
+    r = icons(spark, d)
+    i, w, h, ms = F.col("id"), F.col("ink_w"), F.col("ink_h"), F.col("id") * 7 % 2500
+    return r.select(
+        "id",
+        X.group_label(i, w, h).alias("label"),
+        X.group_colour(i).alias("colour"),
+        X.overlay_summary(i, F.col("solidity"), i % 3, ms).alias("overlay"),
+        X.split_summary(i % 2 == 0, w, ms * 0.5).alias("split"),
+        X.cascade_line(i * 1009, i * 31, i, i % 4).alias("cascade"),
+        X.progress_line(i % 50, i, w, h, i % 5, i % 6, i % 7, S.format_bytes(i * 10)).alias("progress"),
+        X.pace_line(i % 50, i, i * 1000).alias("pace"),
+        S.format_ms(ms * 0.75).alias("took"),
+        S.status_line(i, (i % 997) / 100, F.col("solidity"), i % 3).alias("status"),
+        X.icon_key(i, w, h, i % 4, X.preset_of(F.lit("flat-8"))).alias("key"),
+        X.short_hash(F.lpad(i.cast("string"), 5 + (i % 6).cast("int"), F.lit("0"))).alias("short"),
+        F.array_join(X.flag_names(i % 8), ",").alias("flags"),
+        X.style_class(F.col("solidity") - 0.25).alias("style"),
+        X.sheet_stem(F.when(i % 3 == 0, F.lit("  ")).when(i % 3 == 1, F.concat(F.lit("own"), i)), F.concat(F.lit("/a.b/"), F.col("name"), F.lit(".png"))).alias("stem"),
+        S.id_escape(F.concat(F.lit(" "), F.col("name"), F.lit("  <é> "))).alias("escaped"),
+        X.pdf_string(F.concat(F.col("name"), F.lit(" (é\\\t)"))).alias("pdf"),
+    )
+
+
+@query
+def key_intents(spark, d):
+    """Key presses made of event numbers."""
+    keys = ["a", "A", "r", "f", "d", "z", "Z", "e", "E", " ", "j", "ArrowUp", "Escape", "x"]
+    e = t(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(k) for k in keys]), (F.col("event_id") % len(keys) + 1).cast("int")).alias("key"), (F.col("event_id") % 2 == 0).alias("shift"), (F.col("event_id") % 5 == 0).alias("ctrl"), (F.col("event_id") % 7 == 0).alias("alt"))
+    return e.withColumn("intent", X.key_intent(*[F.col(c) for c in ("key", "shift", "ctrl", "alt")])).withColumn("parsed", T.parse_action(F.concat(F.lit(" "), F.col("key"))))
+
+
+@query
+def id_keys(spark, d):
+    """Ids and cache keys of documents' digests."""
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    raw = F.unhex(F.substring("h", 1, 32))
+    back = X.parse_hex32(F.when(F.col("doc_id") % 9 == 0, F.lit("no hex")).otherwise(F.concat(F.lit(" "), X.hex32(raw), F.lit("\n"))))
+    seg = X.seg_key(F.lit(0.85), F.lit(12.0), F.lit(128), (F.col("doc_id") % 3).cast("int"))
+    return docs.select("doc_id", X.hex32(raw).alias("id"), F.lower(F.hex(back)).alias("parsed"), F.lower(F.hex(X.session_key(raw))).alias("session"), X.mask_key(F.col("h"), seg).alias("mask"), seg.alias("seg"), X.unpack_rgba(X.pack_rgba(*[F.col("doc_id") % (k + 1) for k in (9, 99, 255, 20)])).getItem(2).alias("blue"))
+
+
+@query
+def box_gestures(spark, d):
+    """Drags between the corners of boxes, on a preview of a third of the size."""
+    x1, y1 = F.col("x") + F.col("w") - 20, F.col("y") + F.col("h") - 25
+    g = boxes(spark, d).withColumn("g", X.drag_box(F.col("x") - 10, F.col("y") + 0.5, x1, y1, SIDE, SIDE)).withColumn("c", X.centre(*[F.col(k) for k in "xywh"]))
+    return g.select("sheet", "id", "g.*", "c.cx", "c.cy", X.is_click(F.col("x"), F.col("y"), x1, y1).alias("click"), X.to_sheet(F.col("x"), X.preview_scale(F.lit(3), F.lit(9))).alias("sheet_x"), X.bbox(F.col("x"), F.col("y"), F.col("w") % 5, F.col("h"))["w"].alias("width"), S.round6(X.cell_transform(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(0.375))["tx"]).alias("tx"))
+
+
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    """boxes as icons with documents, presets, scores and states, some missing or unknown."""
+    some = lambda n, v: F.when(F.col("id") % n != 0, v)
+    states = F.array(*[F.lit(x) for x in [*Y.REVIEW_STATES, "lost"]])
+    return boxes(spark, d).withColumns({"svg": some(3, F.concat(F.lit("<svg/>"), F.col("w"))), "preset": some(4, F.lit("scan")), "ssim": some(5, F.col("w") / 64.0), "state": F.element_at(states, (F.col("id") % 6 + 1).cast("int"))})
+
+
+@query
+def icons_of_sheet(spark, d):
+    return Y.icons_for_sheet(shown(spark, d), 7).select("id", "x", "y", "svg", "preset", "ssim")
+
+
+@query
+def review_states_of(spark, d):
+    return Y.review_states_for(shown(spark, d), 7).select("id", "state")
+
+
+@query
+def audit_log(spark, d):
+    return Y.log_for(t(spark, d, "events"), 5, "user_id", "event_id").select("event_id", "event_type")
+
+
+@query
+def library_counts(spark, d):
+    return Y.counts(t(spark, d, "part").select("p_brand").distinct(), t(spark, d, "part"))
+
+
+@query
+def insert_icons(spark, d):
+    b = boxes(spark, d).select("id", "x", "y")
+    new = b.unionByName(b.withColumn("x", F.col("x") + 1))
+    return Y.insert_icons(b.where("id % 2 = 0"), new)
+
+
+@query
+def cache_payloads(spark, d):
+    """Payloads written and read back; every tenth is damaged in between."""
+    rows = t(spark, d, "documents").select("doc_id", X.score_payload(F.col("text"), F.array("lang", "source"), F.col("n_chars") / 8.0).cast("binary").alias("payload"))
+    packed = Y.pack_payloads(rows, "payload").withColumn("payload", F.when(F.col("doc_id") % 10 == 0, F.substring("payload", 3, 20)).otherwise(F.col("payload")))
+    back = Y.unpack_payloads(packed, "payload").select("doc_id", F.col("payload").cast("string").alias("j"))
+    return back.select("doc_id", F.sha2(X.cached_document(F.col("j")), 256).alias("svg"))
+
+
+@query
+def cache_evict(spark, d):
+    return Y.evict(t(spark, d, "events"), ["user_id"], "event_id", 3).select("user_id", "event_id")
+
+
+@query
+def batch_summary(spark, d):
+    rows = icons(spark, d).select("sheet", (F.col("id") % 6 == 0).alias("failed"), (F.col("id") % 4 == 0).alias("hit"), (F.col("stroke") / 4).alias("ssim"), F.col("solidity").alias("composite"))
+    return Y.batch_summary(rows, ["sheet"]).withColumn("mean_composite", S.round6("mean_composite"))
+
+
+@query
+def restored_states(spark, d):
+    prior = t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "flagged").otherwise("approved").alias("state"))
+    return Y.restored_states(t(spark, d, "documents").select("doc_id"), prior, "doc_id")
+
+
+@query
+def restored_groups(spark, d):
+    """Merged groups whose box is that of an original: the ones handed back unchanged."""
+    b = boxes(spark, d)
+    return B.same_boxes(B.merge_pass(b, "sheet", "id"), b, "sheet").select("sheet", "id")
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """boxes as the nodes of one document for each sheet."""
+    from pyspark.sql import Window
+
+    b = boxes(spark, d).withColumn("node", F.row_number().over(Window.partitionBy("sheet").orderBy("id")).cast("long"))
+    real = lambda c: F.col(c).cast("double")
+    identity = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)])
+    return b.select(F.col("sheet").alias("doc"), "node", (F.col("node") - 1).cast("int").alias("z"), *[real(k).alias(k) for k in "xywh"], F.when(F.col("node") % 5 == 0, F.col("node") % 3 + 1).alias("grp"), F.lit("#000000").alias("fill"), (F.col("node") % 11 != 0).alias("visible"), identity.alias("m"))
+
+
+def chosen(n: DataFrame) -> DataFrame:
+    return n.where("node % 4 = 1").select("doc", "node")
+
+
+@query
+def editor_transform(spark, d):
+    n = nodes(spark, d)
+    sel = chosen(n)
+    out = E.rotate(E.scale(E.translate(n, sel, 3, -2), sel, 2, 0.5, (100, 50)), sel, 90, (0, 0))
+    return out.select("doc", "node", "x", "y", "w", "h", F.array_join(F.transform("m", lambda v: F.floor(v * 2).cast("string")), ",").alias("m2"))
+
+
+@query
+def editor_align(spark, d):
+    n = nodes(spark, d)
+    sel = chosen(n)
+    out = E.align(E.align(n, sel, "right"), sel, "vcentre", (4096, 4096))
+    out = E.centre_on_canvas(out, n.where("node = 2").select("doc", "node"), 4096, 4096)
+    return E.set_visible(E.set_fill(out, sel, "#ff0000"), sel, False).select("doc", "node", "x", "y", "fill", "visible")
+
+
+@query
+def editor_order(spark, d):
+    n = nodes(spark, d)
+    sel = n.where("node % 4 = 1 or node % 4 = 2").select("doc", "node")
+    out = n.select("doc", "node")
+    for name, moved in (("front", E.arrange(n, sel, True)), ("back", E.arrange(n, sel, False)), ("up", E.reorder(n, sel, True)), ("down", E.reorder(n, sel, False))):
+        out = out.join(moved.select("doc", "node", F.col("z").alias(name)), ["doc", "node"])
+    return out
+
+
+@query
+def editor_copies(spark, d):
+    n = nodes(spark, d)
+    return E.delete(E.duplicate(n, chosen(n), 4, 4), n.where("node % 3 = 0").select("doc", "node")).select("doc", "node", "z", "x", "y")
+
+
+@query
+def editor_groups(spark, d):
+    n = nodes(spark, d)
+    made = E.group(n, chosen(n))
+    loose = E.ungroup(made, n.where("node = 10").select("doc", "node"))
+    some = E.expand(made, n.where("node = 1").select("doc", "node")).withColumn("expanded", F.lit(True))
+    return loose.select("doc", "node", "grp").join(some, ["doc", "node"], "left").withColumn("expanded", F.coalesce("expanded", F.lit(False)))
+
+
+@query
+def editor_selection(spark, d):
+    n = nodes(spark, d)
+    third = n.where("node % 3 = 0").select("doc", "node")
+    return E.select_remove(E.select_add(n, E.select_toggle(chosen(n), third), n.where("node = 5").select("doc", "node")), n.where("node < 4").select("doc", "node"))
+
+
+@query
+def editor_hits(spark, d):
+    n = nodes(spark, d)
+    area = E.marquee(n, 900, 800, 100, 100).groupBy("doc").agg(F.count(F.lit(1)).alias("in_area"))
+    return area.join(E.hit_test(n, 600, 700, 150), "doc", "left")
+
+
+@query
+def editor_snap(spark, d):
+    n = nodes(spark, d)
+    return E.snap(n, n.where("node < 3").select("doc", "node"), 2.0, -3.0, 4096, 4096, 512)
 
 
 @query

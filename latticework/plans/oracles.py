@@ -161,9 +161,6 @@ SQL = {
     "grid_layout": f'with {LAID} select sheet, id, cast(col as int) as "col", cast(rw as int) as "row", cast(cell_x as int) cell_x, cast(cell_y as int) cell_y from laid',
     "sheet_size": f"""with {ICONS}, s as (select sheet, count(*) n, cast(least(16, count(*)) as int) c from icons group by 1) select sheet, n, c as "columns", cast(ceil(n / c) as int) as "rows", c * 64 + (c - 1) * 8 + 16 width, cast(ceil(n / c) as int) * 64 + (cast(ceil(n / c) as int) - 1) * 8 + 16 height from s""",
     "grid_position": 'select p_partkey id, cast(p_partkey // 7 + 1 as int) as "row", cast(p_partkey % 7 + 1 as int) as "col" from part',
-    "manifest_rows": f"""with {LAID} select id, trim(regexp_replace(lower(sheet), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') || '-' || lpad((idx + 1)::varchar, cast(greatest(3, length((idx + 1)::varchar)) as int), '0') || '-' || rw::varchar || '{{nope}}' as "name",
- trim(regexp_replace(lower(nm), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') slug, (case when solidity >= 0.85 then 'solid' when solidity <= 0.6 then 'hollow' else 'mixed' end) || ' ' || (case when stroke / greatest(ink_w, ink_h) <= 0.15 then 'thin' when stroke / greatest(ink_w, ink_h) >= 0.3 then 'thick' else 'even' end) || case when ink_w * ink_h = 0 then ' empty' else ' ink' end || ' mono-clean' tags,
- regexp_replace(regexp_replace(printf('%.3f', solidity * ink_w / 3), '0+$', ''), '\\.$', '') ink from laid""",
     "csv_quote": """select page_id, case when f like '%,%' or f like '%"%' or f like '%' || chr(10) || '%' or f like '%' || chr(13) || '%' or f like ' %' or f like '% ' then '"' || replace(f, '"', '""') || '"' else f end field from (select page_id, html f from pages)""",
     "grades": f"with {ICONS} select case when solidity >= 0.97 then 'excellent' when solidity >= 0.92 then 'good' when solidity >= 0.85 then 'fair' else 'poor' end grade, count(*) n from icons group by 1",
     "hex_colours": f"with {ICONS} select id, printf('#%02x%02x%02x', cast(id % 256 as int), ink_w, ink_h) colour, concat_ws(',', (id % 256)::varchar, ink_w::varchar, ink_h::varchar, '255') rgba from icons",

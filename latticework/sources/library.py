@@ -83,6 +83,106 @@ def icon_id(sheet_hash: Column, x: Column, y: Column, w: Column, h: Column) -> C
     return F.substring(F.sha2(F.concat_ws("|", sheet_hash, x, y, w, h).cast("binary"), 256), 1, 32)
 
 
+def sheet_by_id(sheets: DataFrame, key: object, id_col: str = "id") -> DataFrame:
+    """The sheet with an id, or nothing; the filter reaches the scan."""
+    return sheets.where(F.col(id_col) == F.lit(key))
+
+
+def icons_for_sheet(icons: DataFrame, key: object, sheet: str = "sheet") -> DataFrame:
+    """A sheet's icons in (y, x) order; a missing document or preset is empty, a missing score 0."""
+    rows = icons.where(F.col(sheet) == F.lit(key))
+    filled = {c: F.coalesce(F.col(c), F.lit("")) for c in ("svg", "preset") if c in rows.columns}
+    filled |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("mae", "ssim", "iou", "composite") if c in rows.columns}
+    return rows.withColumns(filled).orderBy("y", "x")
+
+
+def review_states_for(icons: DataFrame, key: object, sheet: str = "sheet", state: str = "state") -> DataFrame:
+    """A sheet's review states in (y, x) order; rows with a state that isn't one are left out."""
+    return icons.where((F.col(sheet) == F.lit(key)) & F.col(state).isin(REVIEW_STATES)).orderBy("y", "x")
+
+
+def log_for(log: DataFrame, key: object, key_col: str, order: str) -> DataFrame:
+    """The audit rows of one key in the order they were written."""
+    return log.where(F.col(key_col) == F.lit(key)).orderBy(order)
+
+
+def counts(sheets: DataFrame, icons: DataFrame) -> DataFrame:
+    """One row: how many sheets and icons the library holds."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(sheets, "sheets").join(F.broadcast(one(icons, "icons")))
+
+
+def insert_icons(icons: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of new that icons lacks, one for each id (the smallest row), as pending: what an insert adds."""
+    others = [c for c in new.columns if c != key]
+    first = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("r")).select(key, "r.*")
+    return first.join(icons.select(key), key, "left_anti").withColumn("state", F.lit("pending"))
+
+
+def append_event(log: DataFrame, events: DataFrame) -> DataFrame:
+    """log and, after it, events."""
+    return log.unionByName(events)
+
+
+def pack_payloads(rows: DataFrame, payload: str, level: int = 3) -> DataFrame:
+    """rows with the payload compressed, in Arrow batches."""
+    at = rows.columns.index(payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=level)
+        for b in batches:
+            packed = [None if x is None else packer.compress(x) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def unpack_payloads(rows: DataFrame, payload: str) -> DataFrame:
+    """rows with the payload as it was stored; one that is missing or damaged is null, never an error."""
+    at = rows.columns.index(payload)
+
+    def read(x: bytes | None) -> bytes | None:
+        import zstandard
+
+        try:
+            return None if x is None else zstandard.ZstdDecompressor().decompress(x)
+        except zstandard.ZstdError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([read(x) for x in b.column(at).to_pylist()], pa.binary()) if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def evict(entries: DataFrame, keys: list[str], touched: str, most: int) -> DataFrame:
+    """The `most` entries of each key that were touched last."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(touched))
+    return entries.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def restored_states(icons: DataFrame, prior: DataFrame, key: str) -> DataFrame:
+    """icons with the state that an earlier review left, or pending."""
+    return icons.drop("state").join(prior.select(key, "state"), key, "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+
+
+def batch_summary(icons: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ok, failed, hits, min_ssim, min_composite, mean_composite of vectorised icons (failed, hit, ssim, composite); 1.0 where none succeeded."""
+    fine = ~F.col("failed")
+    score = lambda agg, c: F.coalesce(agg(F.when(fine, F.col(c))), F.lit(1.0))
+    return icons.groupBy(*keys).agg(
+        F.count_if(fine).alias("ok"),
+        F.count_if(~fine).alias("failed"),
+        F.count_if(fine & F.col("hit")).alias("hits"),
+        score(F.min, "ssim").alias("min_ssim"),
+        score(F.min, "composite").alias("min_composite"),
+        score(F.avg, "composite").alias("mean_composite"),
+    )
+
+
 def set_state(log: DataFrame, key: str, action: str, order: list[str]) -> DataFrame:
     """Each key's last logged action: the state that an in-place update would hold."""
     return log.groupBy(key).agg(F.max_by(action, F.struct(*order)).alias("state"))
@@ -93,6 +193,11 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def save_as(df: DataFrame, path: str) -> None:
+    """A copy at another place; what df was read from isn't touched, and an existing place is refused."""
+    df.write.mode("error").option("compression", "zstd").parquet(path)
+
+
 def replace_partition(df: DataFrame, path: str, column: str = "sheet_id") -> None:
     """Overwrite only the partitions (sheets) that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)

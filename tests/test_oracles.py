@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 
+from __spark_entry__ import SQL
 from latticework.plans.catalogue import QUERIES
-from latticework.plans.oracles import SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
