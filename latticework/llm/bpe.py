@@ -29,6 +29,8 @@ from .kernels import U64, column_bytes, mix, ragged, slices, spans_hash
 
 # The code points with Unicode's White_Space property.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Fixed value: the pattern whose matches are pre-tokens.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Merged pre-tokens that a worker keeps for reuse, and pairs whose rank it keeps.
 KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
@@ -265,6 +267,12 @@ def coder(path: str) -> ByteBPE:
     return _coders[path]
 
 
+def check_pattern(pattern: str) -> None:
+    """Refuse a vocabulary whose pre-tokens another pattern cuts."""
+    if pattern != RULE:
+        raise ValueError(f"pre-tokens are cut by {RULE}, not by {pattern}")
+
+
 def encode_documents(docs: DataFrame, rank_file: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """docs with n_tokens, ids (little-endian 32-bit), ids_sha256 and, if asked, decoded (the bytes of the decoded ids) and decoded_sha256.
 

@@ -70,8 +70,9 @@ def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import digest_documents
+    from .bpe import check_pattern, digest_documents
 
+    check_pattern(public_tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 

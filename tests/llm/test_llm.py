@@ -560,6 +560,22 @@ def test_jpeg_round_trip(spark, odd, empty):
             assert r.payload_sha256 == hashlib.sha256(raw).hexdigest() and r.media_bytes == len(r.media)
 
 
+def test_jpeg_feature_is_brute_force(spark, docs):
+    rows = [(1, "a"), (2, None), (3, "a"), (4, "xyz " * 700), (5, "\u00e9" * 3000), *((10 + r.doc_id, r.text) for r in docs.limit(20).collect())]
+    got = {r.doc_id: r.feature for r in jpeg.stored_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        raw += b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        high = len(raw) // 576
+        mean, bits = sum(raw) / len(raw), ""
+        for y in range(8):
+            for x in range(8):
+                part = [raw[r * 576 + c] for r in range(y * high // 8, max((y + 1) * high // 8, y * high // 8 + 1)) for c in range(x * 72, x * 72 + 72)]
+                bits += "1" if sum(part) / len(part) > mean + 1e-9 else "0"
+        assert got[i] == f"4608x{high * 8}:{int(bits, 2):016x}"
+    assert got[1] == got[3]
+
+
 def test_jpeg_reader():
     """Images without restart markers, with AC codes, three components, and broken ones."""
     dc, ac = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))), (bytes([0, 2, 1] + [0] * 13), bytes([0x00, 0x01, 0xF0]))
@@ -617,6 +633,14 @@ def test_bpe_is_the_public_coding(spark, docs, odd, empty):
         assert len(got) == df.count() and all(want[g.doc_id] == (g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in got)
 
 
+def test_bpe_refuses_other_patterns():
+    import public_tokenizers
+
+    bpe.check_pattern(public_tokenizers.PATTERN)
+    with pytest.raises(ValueError):
+        bpe.check_pattern(r"\S+|\s+")
+
+
 def test_perfect_hash_is_minimal():
     for n in (0, 1, 2, 1000):
         keys = kernels.mix(np.arange(n, dtype=np.uint64))
@@ -704,6 +728,40 @@ def test_pu_learning():
     assert (m.score(good[700:]) >= 0.5).mean() > 0.9 and (m.score(bad[400:]) < 0.5).mean() > 0.9
 
 
+def test_quality_score_is_brute_force(spark, odd):
+    """Features by plain loops over bytes and words, then the model's formula."""
+    marks = b"!|%$&*#?.,;:-'<{=@"
+
+    def kind(b):
+        if b in marks:
+            return 9 + marks.index(b)
+        if 97 <= b < 123:
+            return 0
+        return 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if b in (9, 32) else 4 if b in (10, 13) else 5 if b < 32 else 6 if 128 <= b < 192 else 7 if b >= 192 else 8
+
+    r = np.random.default_rng(4)
+    width = quality.WIDTH
+    m = quality.QualityModel(r.random(width).astype(np.float32) * 0.1, (0.1 + r.random(width)).astype(np.float32), r.normal(size=width).astype(np.float32), 0.25, 0.5)
+    texts = spark.createDataFrame([(1, "The quick  brown fox!"), (2, "a a b a b a"), (3, "x" * 40 + " y"), (4, "<a> {b} = 'c'\n\t1,2;3"), (5, "x" * 40 + " y")], "doc_id long, text string")
+    for df in (texts, odd.select("doc_id", "text").where("length(text) < 1000 or text is null")):
+        want = Counter()
+        for i, t in [(x.doc_id, x.text) for x in df.collect()]:
+            raw, w = (t or "").encode(), words(t)
+            f = np.zeros(width)
+            for a, b in zip(raw, raw[1:]):
+                f[kind(a) * quality.CLASSES + kind(b)] += 1
+            f[: -quality.STATS] = np.sqrt(f[: -quality.STATS] / max(len(raw) - 1, 1))
+            n = max(len(w), 1)
+            sizes = [len(x.encode()) for x in w]
+            same = [sum(a == b for a, b in zip(w, w[k:])) / n for k in (1, 2)]
+            f[-quality.STATS :] = [math.log1p(len(w)) / 10, min(sum(sizes) / n, 40) / 10, len(set(w)) / n, *same, sum(x > 25 for x in sizes) / n]
+            z = float(np.clip((f - m.mean) / m.scale, -8, 8) @ m.weights + m.bias)
+            want[i, round(1 / (1 + math.exp(-z)), 4)] += 1
+        got = Counter((x.doc_id, round(x.score, 4)) for x in quality.score(df, m).collect())
+        near = lambda a, b: all(any(i == j and abs(s - u) < 2e-3 for j, u in b) for i, s in a)
+        assert sum(got.values()) == sum(want.values()) and near(got, want) and near(want, got)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where(samples.held_out(F.col("doc_id"))).collect()
