@@ -10,11 +10,11 @@ from .scalars import percent
 # Presets by document name, with colour, palette size and the two simplification limits.
 PRESETS = [
     ("mono-fast", "draft", False, None, 0.6, 0.8),
-    ("mono-clean", "wireframe", False, None, 0.35, 0.5),
+    ("mono-clean", "wireframe", False, None, 0.35, 0.4),
     ("scan", "lineart", False, None, 0.25, 0.3),
-    ("flat-8", "balanced", True, 8, 0.35, 0.5),
-    ("flat-cutout", "detailed", True, 16, 0.35, 0.5),
-    ("detailed", "high-fidelity", True, 24, 0.25, 0.3),
+    ("flat-8", "balanced", True, 8, 0.35, 0.4),
+    ("flat-cutout", "detailed", True, 12, 0.3, 0.35),
+    ("detailed", "high-fidelity", True, 24, 0.15, 0.15),
     ("pixel-art", "pixel", True, 32, 0.0, 0.0),
 ]
 # The keys that decide, and those that do something else.

@@ -198,14 +198,14 @@ def kmeans_two(values: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.nda
 
 
 def strongest_apart(strength: np.ndarray, radius: float, most: int = 64) -> list[tuple[int, int]]:
-    """Greedy (y, x) picks: strongest first (ties: scan order), each at least radius from all before."""
+    """Greedy (y, x) picks: strongest first (ties: scan order), each more than radius from all before."""
     flat = strength.ravel()
     kept: list[tuple[int, int]] = []
     for k in np.argsort(-flat, kind="stable"):
         if flat[k] <= 0 or len(kept) >= most:
             break
         y, x = divmod(int(k), strength.shape[1])
-        if all((y - a) ** 2 + (x - b) ** 2 >= radius * radius for a, b in kept):
+        if all((y - a) ** 2 + (x - b) ** 2 > radius * radius for a, b in kept):
             kept.append((y, x))
     return kept
 

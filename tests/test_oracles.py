@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import SQL
 from latticework.plans.catalogue import QUERIES
+from latticework.plans.kernels import KERNELS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,6 +39,13 @@ def test_every_query_has_sql():
     assert sorted(SQL) == sorted(QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(KERNELS))
+def test_kernel_query_runs(spark, sf, name):
+    """What SQL can't express runs on whole tables, twice alike; plain versions are in the tests of kernels."""
+    first, again = (sorted(map(repr, KERNELS[name](spark, sf).collect())) for _ in range(2))
+    assert first and first == again
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
