@@ -26,8 +26,8 @@ size as (select r, count(*) n from sh group by 1)"""
 TARGETS = f"""{DOCS}, sized as (select doc_id, source, len(ws) sz, cast('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '|' || md5(coalesce(text, ''))), 1, 15) as bigint) h from docs),
 src as (select source, sum(sz)::bigint ss, (row_number() over (order by source is null, source) - 1) % 3 + 1 wt from sized group by 1),
 r0 as (select sum(ss) l, sum(wt) f from src)"""
-# a source is held to its stop once its share passes it; every round fixes all that pass, so three rounds settle the tables at hand
-for _k in (1, 2, 3):
+# a source is held to its stop once its share passes it; every round fixes all that pass, so eight rounds settle a few dozen sources
+for _k in range(1, 9):
     TARGETS += f", r{_k} as (select (select sum(ss) from src) - coalesce(sum(3 * ss) filter (3 * ss * f < l * wt), 0) l, coalesce(sum(wt) filter (not 3 * ss * f < l * wt), 1) f from src, r{_k - 1} group by r{_k - 1}.l, r{_k - 1}.f)"
 
 SQL = {
@@ -40,7 +40,7 @@ SQL = {
  link as (select a, b from meet join size p on p.r = a join size q on q.r = b where 100 * k >= 90 * (p.n + q.n - k)),
  reach as (select r node, r other from size union select node, b from reach join link on a = other), comp as (select node, min(doc_id) c from reach join low on low.r = other group by 1)
  select doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(c, doc_id) component_id from low left join size using (r) left join comp on node = low.r""",
-    "op9_mixing": f"""with {TARGETS}, target as (select source, ss, case when 3 * ss * f < l * wt then (3 * ss)::double else l::double * wt::double / f::double end t from src, r3),
+    "op9_mixing": f"""with {TARGETS}, target as (select source, ss, case when 3 * ss * f < l * wt then (3 * ss)::double else l::double * wt::double / f::double end t from src, r8),
  per as (select *, case when ss > 0 then least(floor(t / ss), 3)::bigint else 0 end copies from target), open as (select *, greatest(0, t - copies * ss) budget from per),
  hs as (select source, h, sum(sz) w, count(*) k from sized group by all), run as (select *, coalesce(sum(w) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) before from hs),
  edge as (select run.source, max(h) cut from run join open on run.source is not distinct from open.source where before <= budget group by 1),
