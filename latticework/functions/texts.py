@@ -211,3 +211,8 @@ def cached_document(payload: Column) -> Column:
 
 def percent_text(value: Column) -> Column:
     return F.format_string("%d%%", percent(value))
+
+
+def packed_fill(word: Column) -> Column:
+    """#rrggbb of a number's lower 24 bits."""
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(word.bitwiseAND(F.lit(0xFFFFFF)))), 6, "0"))

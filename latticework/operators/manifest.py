@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_field, derive_tags, expand_pattern, format_number, slugify
-from ..functions.texts import artwork_file
+from ..functions.texts import artwork_file, cell_transform
 from .leveling import grid_position
 
 # All columns in order, and those that a fresh export has.
@@ -64,3 +64,21 @@ def to_csv(manifest: DataFrame, columns: list[str] = DEFAULT, delimiter: str = "
 def missing_artwork(placed: DataFrame, artwork: DataFrame, key: str) -> DataFrame:
     """The placements that have no artwork: an export of them is an error."""
     return placed.join(artwork.select(key).distinct(), key, "left_anti")
+
+
+def sheet_svg(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sheet, svg: one document for each sheet, a group for each placed icon in order of index.
+
+    placed: sheet, index, x, y, scale, ink_x and ink_y (0 where absent) and shapes
+    (fill as #rrggbb, data); an icon without shapes is left out: `missing_artwork`
+    tells them.  sizes: sheet, width, height.
+    """
+    ink = lambda c: F.col(c) if c in placed.columns else F.lit(0)
+    at = cell_transform(F.col("x"), F.col("y"), ink("ink_x"), ink("ink_y"), F.col("scale"))
+    paths = F.array_join(F.transform("shapes", lambda s: F.concat(F.lit('<path d="'), s["data"], F.lit('" fill="'), s["fill"], F.lit('"/>'))), "")
+    group = F.concat(F.lit('<g transform="translate('), format_number(at["tx"]), F.lit(","), format_number(at["ty"]), F.lit(") scale("), format_number(at["s"]), F.lit(')">'), paths, F.lit("</g>\n"))
+    rows = placed.where(F.col("shapes").isNotNull()).select("sheet", "index", group.alias("g"))
+    rows = rows.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("index", "g"))).alias("l"))
+    size = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), size("width"), F.lit('" height="'), size("height"), F.lit('" viewBox="0 0 '), size("width"), F.lit(" "), size("height"), F.lit('">\n'))
+    return rows.join(sizes, "sheet").select("sheet", F.concat(head, F.array_join(F.transform("l", lambda x: x["g"]), ""), F.lit("</svg>\n")).alias("svg"))

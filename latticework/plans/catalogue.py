@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import polygons as O
 from ..functions import scalars as S
 from ..functions import texts as X
 from ..operators import boxes as B
@@ -21,6 +22,7 @@ from ..operators import robust as Z
 from ..operators import runs as U
 from ..operators import triage as T
 from ..operators.graph import connected_components
+from ..sources import documents as D
 from ..sources import library as Y
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,3 +667,40 @@ def elbow_pick(spark, d):
     w = Window.partitionBy("l_returnflag").orderBy("k")
     bend = cost.withColumn("bend", F.lag("c").over(w) - 2 * F.col("c") + F.lead("c").over(w)).where("bend is not null")
     return bend.groupBy("l_returnflag").agg(F.max_by("k", F.struct("bend", -F.col("k"))).alias("k"))
+
+
+def icon_documents(spark: SparkSession, d: str) -> DataFrame:
+    """An SVG document for each part: a square and a line in a moved group; some without their end."""
+    r = icons(spark, d)
+    w, h = F.col("ink_w").cast("string"), F.col("ink_h").cast("string")
+    fill = F.when(F.col("id") % 3 == 0, "#ff0000").otherwise("#00f")
+    head = F.concat(F.lit('<svg viewBox="0 0 '), w, F.lit(" "), h, F.lit('"><title>'), S.xml_escape(F.col("name")), F.lit('</title><g transform="translate(2 1) scale(2)" fill="'), fill, F.lit('">'))
+    body = F.concat(F.lit('<path d="M0 0h'), w, F.lit("v"), h, F.lit('H0z"/><path fill="#00ff0080" d="M1 1L'), w, F.lit(' 1"/></g>'))
+    return r.select("id", F.concat(head, body, F.when(F.col("id") % 7 == 0, "").otherwise("</svg>")).alias("doc"))
+
+
+@query
+def svg_documents(spark, d):
+    out = D.read_documents(icon_documents(spark, d), "doc")
+    return out.select("id", "width", "height", "fills", "nodes", "closed", F.element_at("shapes", 1)["fill"].alias("fill"), F.element_at("shapes", 1)["data"].alias("data"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def sheet_svg(spark, d):
+    """Each brand's sheet as one document; icons are squares of their size."""
+    laid = V.level(V.grid_layout(icons(spark, d), "sheet", ["id"], SPEC), "sheet", SPEC)
+    w, h = F.col("ink_w").cast("string"), F.col("ink_h").cast("string")
+    art = F.array(F.struct(X.packed_fill(F.col("id")).alias("fill"), F.concat(F.lit("M0 0L"), w, F.lit(" 0L"), w, F.lit(" "), h, F.lit("Z")).alias("data")))
+    return M.sheet_svg(laid.withColumn("shapes", art), V.sheet_size(icons(spark, d), "sheet", SPEC))
+
+
+@query
+def polygon_areas(spark, d):
+    """Areas of what two overlapping boxes have together, alone and in common."""
+    p = B.near_pairs(boxes(spark, d), "sheet", "id", 0).where(B.intersects("a_", "b_"))
+    corner = lambda side, x, y: F.struct((F.col(f"{side}_x") + x * F.col(f"{side}_w")).cast("double").alias("x"), (F.col(f"{side}_y") + y * F.col(f"{side}_h")).cast("double").alias("y"))
+    ring = lambda side: F.array(F.array(*[corner(side, x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]))
+    out = p.select("sheet", F.col("a_id").alias("a"), F.col("b_id").alias("b"), ring("a").alias("left"), ring("b").alias("right"))
+    for op in ("union", "subtract", "intersect", "exclude"):
+        out = O.combine_columns(out, "left", "right", op, op).drop(op)
+    return out.drop("left", "right")

@@ -83,4 +83,11 @@ MORE = {
  ex as (select doc, 0 e, x0 + 2 p from b union all select doc, 1, (x0 + x1) / 2 + 2 from b union all select doc, 2, x1 + 2 from b), ey as (select doc, 0 e, y0 - 3 p from b union all select doc, 1, (y0 + y1) / 2 - 3 from b union all select doc, 2, y1 - 3 from b),
  fx as (select doc, arg_min(line - p, struct_pack(a := abs(line - p), k := kind, e := e, l := line)) d from tx join ex using (doc) where abs(line - p) <= 6 group by 1), fy as (select doc, arg_min(line - p, struct_pack(a := abs(line - p), k := kind, e := e, l := line)) d from ty join ey using (doc) where abs(line - p) <= 6 group by 1)
  select doc, 2 + coalesce(fx.d, 0) dx, -3 + coalesce(fy.d, 0) dy from b left join fx using (doc) left join fy using (doc)""",
+    "svg_documents": f"""with {ICONS} select id, case when ok then ink_w::double end width, case when ok then ink_h::double end height, case when ok then 2::int end fills, case when ok then 4::int end nodes, case when ok then false end closed,
+ case when ok then case when id % 3 = 0 then '#ff0000ff' else '#0000ffff' end end fill, case when ok then 'M2 1 L' || (2 + 2 * ink_w)::varchar || ' 1 L' || (2 + 2 * ink_w)::varchar || ' ' || (1 + 2 * ink_h)::varchar || ' L2 ' || (1 + 2 * ink_h)::varchar || ' Z' end "data", not ok failed from (select *, id % 7 <> 0 ok from icons)""",
+    "sheet_svg": f"""with {LEVEL}, g as (select sheet, idx, '<g transform="translate(' || regexp_replace(regexp_replace(printf('%.3f', round(px, 9)), '0+$', ''), '\\.$', '') || ',' || regexp_replace(regexp_replace(printf('%.3f', round(py, 9)), '0+$', ''), '\\.$', '') || ') scale(' || regexp_replace(regexp_replace(printf('%.3f', round(scale, 9)), '0+$', ''), '\\.$', '') || ')"><path d="M0 0L' || ink_w::varchar || ' 0L' || ink_w::varchar || ' ' || ink_h::varchar || 'Z" fill="#' || lpad(lower(to_hex(id % 16777216)), 6, '0') || '"/></g>' || chr(10) g, n from fin),
+ s as (select sheet, cast(least(16, n) as int) c, cast(ceil(n / least(16, n)) as int) r, string_agg(g, '' order by idx) body from g group by sheet, n), z as (select *, c * 64 + (c - 1) * 8 + 16 w, r * 64 + (r - 1) * 8 + 16 h from s)
+ select sheet, '<svg xmlns="http://www.w3.org/2000/svg" width="' || w::varchar || '" height="' || h::varchar || '" viewBox="0 0 ' || w::varchar || ' ' || h::varchar || '">' || chr(10) || body || '</svg>' || chr(10) svg from z""",
+    "polygon_areas": f"""with {BOXES}, p as (select p.sheet, p.id a, q.id b, (least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * (least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) i, p.w * p.h aa, q.w * q.h ba from boxes p join boxes q on p.sheet = q.sheet and p.id < q.id and p.x < q.x + q.w and q.x < p.x + p.w and p.y < q.y + q.h and q.y < p.y + p.h)
+ select sheet, a, b, (aa + ba - i)::double union_area, (aa - i)::double subtract_area, i::double intersect_area, (aa + ba - 2 * i)::double exclude_area from p""",
 }
