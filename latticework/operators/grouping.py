@@ -118,3 +118,17 @@ def scan_order(groups: DataFrame, sheet: str) -> DataFrame:
     """groups with place: their number from 0 in (y, x, origin) order on the sheet."""
     ties = [c for c in ("ox", "oy", "id") if c in groups.columns]
     return groups.withColumn("place", F.row_number().over(Window.partitionBy(sheet).orderBy("y", "x", *ties)) - 1)
+
+
+def truth_matches(groups: DataFrame, truth: DataFrame, sheet: str, item: str, near: int = 1, size: int = 2) -> DataFrame:
+    """sheet, truth, found, coverage: pairs of a true box and a group within `near` pixels in place and `size` in each side.
+
+    An equi-join on places: each true box asks for its own place and those around it.
+    """
+    around = F.explode(F.sequence(F.lit(-near), F.lit(near)))
+    t = truth.select(sheet, F.col(item).alias("truth"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("w").alias("tw"), F.col("h").alias("th")).withColumn("dx", around).withColumn("dy", around)
+    t = t.withColumns({"x": F.col("tx") + F.col("dx"), "y": F.col("ty") + F.col("dy")})
+    pairs = t.join(groups.select(sheet, F.col(item).alias("found"), "x", "y", "w", "h"), [sheet, "x", "y"]).where((F.abs(F.col("w") - F.col("tw")) <= size) & (F.abs(F.col("h") - F.col("th")) <= size))
+    over = lambda a, s, b, u: F.greatest(F.lit(0), F.least(F.col(a) + F.col(s), F.col(b) + F.col(u)) - F.greatest(a, b))
+    share = over("x", "w", "tx", "tw") * over("y", "h", "ty", "th") / (F.col("tw") * F.col("th"))
+    return pairs.select(sheet, "truth", "found", share.alias("coverage"))

@@ -58,3 +58,30 @@ def pace(decided: Column, total: Column, elapsed_ms: Column, budget_ms: int = 20
 def funnel(candidates: DataFrame, verified: Column, confirmed: Column) -> DataFrame:
     """candidates, verified, confirmed counts of judged pairs."""
     return candidates.agg(F.count(F.lit(1)).alias("candidates"), F.coalesce(F.sum(verified.cast("long")), F.lit(0)).alias("verified"), F.coalesce(F.sum((verified & confirmed).cast("long")), F.lit(0)).alias("confirmed"))
+
+
+def by_position(report: DataFrame, icons: DataFrame, position: str, item: str) -> DataFrame:
+    """report's rows, which name icons by their position on the sheet, with the icons' ids."""
+    return report.join(icons.select(position, item), position)
+
+
+def duplicate_ids(clusters: DataFrame, item: str, members: str = "members") -> DataFrame:
+    """Every id that is in a cluster, once."""
+    return clusters.select(F.explode(members).alias(item)).distinct()
+
+
+def ordered_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters by keeper, then by members."""
+    return clusters.orderBy("keeper", "members")
+
+
+def ordered_outliers(outliers: DataFrame, item: str, kinds: list[str], kind: str = "kind") -> DataFrame:
+    """Outliers by id, then by their kind's place in a fixed order."""
+    return outliers.orderBy(item, F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)))
+
+
+def screened(icons: DataFrame, width: int, height: int) -> DataFrame:
+    """icons (x, y, w, h, document, ink) with row_no kept and reason: why an icon can't be reviewed, else null."""
+    off = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("w") > width) | (F.col("y") + F.col("h") > height)
+    reason = F.when((F.col("w") <= 0) | (F.col("h") <= 0), "empty box").when(F.coalesce("document", F.lit("")) == "", "no document").when(off, "off sheet").when(F.col("ink") <= 0, "no ink").when(~F.col("document").startswith("<svg"), "unparsable")
+    return icons.withColumn("reason", reason)

@@ -24,6 +24,12 @@ def runs_plane(runs: DataFrame, keys: list[str], width: int, height: int) -> Dat
     return got.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda p: F.array_contains("s", p).cast("int")).alias("plane"))
 
 
+def mask_get(plane: Column, x: Column, y: Column, width: int, height: int) -> Column:
+    """The sample at (x, y) of a row-major plane; 0 beyond it."""
+    inside = (x >= 0) & (y >= 0) & (x < width) & (y < height)
+    return F.when(inside, F.try_element_at(plane, (y * width + x + 1).cast("int"))).otherwise(F.lit(0))
+
+
 def adjacency(runs: DataFrame, keys: list[str], run_id: str) -> DataFrame:
     """a, b: runs of neighbouring rows that touch, corners included; an equi-join on the row."""
     up = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x_start").alias("ps"), F.col("x_end").alias("pe"), F.col(run_id).alias("a"))

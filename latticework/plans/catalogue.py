@@ -13,6 +13,7 @@ from ..functions import texts as X
 from ..operators import boxes as B
 from ..operators import confidence as C
 from ..operators import editor as E
+from ..operators import grouping as G
 from ..operators import lattice as L
 from ..operators import leveling as V
 from ..operators import manifest as M
@@ -704,3 +705,40 @@ def polygon_areas(spark, d):
     for op in ("union", "subtract", "intersect", "exclude"):
         out = O.combine_columns(out, "left", "right", op, op).drop(op)
     return out.drop("left", "right")
+
+
+@query
+def mask_samples(spark, d):
+    """Samples of thresholded planes at places made of their numbers, some beyond the plane."""
+    p = planes(spark, d).select("vec_id", F.transform("u", lambda v: (v >= 128).cast("int")).alias("m"), (F.col("vec_id") % 10 - 1).cast("int").alias("x"), (F.col("vec_id") % 9).cast("int").alias("y"))
+    return p.select("vec_id", U.mask_get(F.col("m"), F.col("x"), F.col("y"), 8, 8).alias("bit"))
+
+
+@query
+def duplicate_ids(spark, d):
+    """Documents in a cluster of equal texts, by position in the table of ids and back."""
+    rows = t(spark, d, "documents").select("doc_id", (F.col("doc_id") * 2).cast("long").alias("place"), F.sha2("text", 256).alias("h"))
+    clusters = rows.groupBy("h").agg(F.collect_set("place").alias("members")).where(F.size("members") > 1)
+    return R.by_position(R.duplicate_ids(clusters, "place"), rows, "place", "doc_id").select("doc_id")
+
+
+@query
+def screened_icons(spark, d):
+    """Why boxes can't be reviewed, on a sheet that some lie beyond."""
+    b = boxes(spark, d).withColumns({"document": F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 5 == 0, "text").otherwise("<svg/>"), "ink": F.col("id") % 6, "w": F.when(F.col("id") % 9 == 0, 0).otherwise(F.col("w"))})
+    return R.screened(b, 4100, 4090).groupBy("sheet", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def truth_matches(spark, d):
+    """Boxes against themselves, moved and grown a little: which still match."""
+    b = boxes(spark, d)
+    i = F.col("id")
+    moved = b.withColumns({"x": F.col("x") + (i % 4 - 1).cast("int"), "y": F.col("y") + (i % 3 - 1).cast("int"), "w": F.col("w") + (i % 4).cast("int")})
+    return G.truth_matches(moved, b, "sheet", "id").withColumn("coverage", S.round6("coverage"))
+
+
+@query
+def selection_bounds(spark, d):
+    n = nodes(spark, d)
+    return E.bounds(n, chosen(n))

@@ -90,4 +90,11 @@ MORE = {
  select sheet, '<svg xmlns="http://www.w3.org/2000/svg" width="' || w::varchar || '" height="' || h::varchar || '" viewBox="0 0 ' || w::varchar || ' ' || h::varchar || '">' || chr(10) || body || '</svg>' || chr(10) svg from z""",
     "polygon_areas": f"""with {BOXES}, p as (select p.sheet, p.id a, q.id b, (least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * (least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) i, p.w * p.h aa, q.w * q.h ba from boxes p join boxes q on p.sheet = q.sheet and p.id < q.id and p.x < q.x + q.w and q.x < p.x + p.w and p.y < q.y + q.h and q.y < p.y + p.h)
  select sheet, a, b, (aa + ba - i)::double union_area, (aa - i)::double subtract_area, i::double intersect_area, (aa + ba - 2 * i)::double exclude_area from p""",
+    "mask_samples": "select vec_id, case when vec_id % 10 between 1 and 8 and vec_id % 9 < 8 then case when floor(embedding[(vec_id % 9) * 8 + vec_id % 10]::double * 256) + 128 >= 128 then 1 else 0 end else 0 end::int bit from embeddings",
+    "duplicate_ids": "select doc_id from documents where text in (select text from documents group by 1 having count(*) > 1)",
+    "screened_icons": f"""with {BOXES}, b as (select sheet, x, y, h, id, case when id % 9 = 0 then 0 else w end w from boxes)
+ select sheet, reason, count(*) n from (select sheet, case when w = 0 then 'empty box' when id % 4 = 0 then 'no document' when x + w > 4100 or y + h > 4090 then 'off sheet' when id % 6 = 0 then 'no ink' when id % 5 = 0 then 'unparsable' end reason from b) group by all""",
+    "truth_matches": f"""with {BOXES}, m as (select sheet, id, x + id % 4 - 1 x, y + id % 3 - 1 y, w + id % 4 w, h from boxes)
+ select t.sheet, t.id truth, f.id "found", round(greatest(0, least(f.x + f.w, t.x + t.w) - greatest(f.x, t.x)) * greatest(0, least(f.y + f.h, t.y + t.h) - greatest(f.y, t.y)) / (t.w * t.h)::double, 6) coverage from boxes t join m f on f.sheet = t.sheet and abs(f.x - t.x) <= 1 and abs(f.y - t.y) <= 1 and abs(f.w - t.w) <= 2 and abs(f.h - t.h) <= 2""",
+    "selection_bounds": f"with {NODES} select doc, min(x) x0, min(y) y0, max(x + w) x1, max(y + h) y1 from n where sel group by 1",
 }

@@ -56,6 +56,17 @@ def dedupe_import(rows: DataFrame, content: str, order: list[str], existing: Dat
     return hashed.withColumn("outcome", F.when(F.col("_first"), "imported").otherwise("duplicate")).drop("_first")
 
 
+def flush(rows: DataFrame, path: str) -> dict[str, int]:
+    """Append the imported rows of a batch (with outcome) in one job; how many rows had each outcome, counted as they pass."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    outcomes = ["imported", "duplicate"]
+    counted = rows.observe(seen, *[F.count_if(F.col("outcome") == o).alias(o) for o in outcomes])
+    counted.where("outcome = 'imported'").write.mode("append").option("compression", "zstd").parquet(path)
+    return {o: seen.get[o] for o in outcomes}
+
+
 def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:
     """A page of an ordered listing; Spark keeps offset + limit rows of each partition."""
     return df.orderBy(*order).offset(offset).limit(limit)
