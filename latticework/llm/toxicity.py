@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,16 @@ class Vocabulary:
 
     def __init__(self, names: np.ndarray):
         self.names = np.sort(names)
+        self._open()
+
+    def __getstate__(self) -> np.ndarray:
+        return self.names
+
+    def __setstate__(self, names: np.ndarray) -> None:
+        self.names = names
+        self._open()
+
+    def _open(self) -> None:
         self.door = np.zeros(1 << _DOOR, dtype=bool)
         self.door[(self.names >> U64(64 - _DOOR)).astype(np.int64)] = True
 
@@ -158,9 +169,13 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
+    """What is sent: the examples' terms and counts; each worker makes the index from them."""
+
     vocabulary: Vocabulary
     idf: np.ndarray
-    index: BlockMaxIndex | None
+    cut: np.ndarray  # example i has term[cut[i] : cut[i + 1]] with their counts
+    term: np.ndarray
+    count: np.ndarray
     toxic: np.ndarray
     ids: list
     weight: np.ndarray  # of an example with label 0, 1: members of its stratum that it stands for
@@ -169,6 +184,15 @@ class ToxicityModel:
     slope: float = 1.0
     shift: float = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    @cached_property
+    def index(self) -> BlockMaxIndex | None:
+        if len(self.cut) < 2:
+            return None
+        return BlockMaxIndex(self.cut, self.term, self.vectors(self.cut, self.term, self.count), len(self.idf))
+
     def vectors(self, cut: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Unit weights of the terms of each row."""
         w = (1 + np.log(count)) * self.idf[term]
@@ -239,7 +263,7 @@ def _frequencies(texts: DataFrame, vocabulary, width: int) -> tuple[np.ndarray,
 
 
 def examples(docs: DataFrame, known: DataFrame, positives: int, negatives: int) -> list[dict]:
-    """doc_id, y, names, counts of at most `positives` and `negatives` rows of known (doc_id, y), by id: one for each group of copies."""
+    """doc_id, y, names, counts of at most `positives` and `negatives` rows of known (doc_id, y), by id: one for each group of copies and for each id."""
     chosen = sample(known.where("y = 1"), positives).unionByName(sample(known.where("y = 0"), negatives))
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", F.xxhash64("doc_id").alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -261,6 +285,7 @@ def examples(docs: DataFrame, known: DataFrame, positives: int, negatives: int)
     # a text copied a hundred times would make all its words look telling: one example speaks for its copies
     rows = rows.mapInArrow(terms, f"doc_id {kind}, y int, names binary, counts binary, key long")
     rows = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "y", "names", "counts"), "doc_id").alias("r")).select("r.*")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", "names", "counts"), "names").alias("r")).select("doc_id", "r.*")
     return rows.toArrow().sort_by("doc_id").to_pylist()
 
 
@@ -272,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     totals = dict(known.groupBy("y").count().collect())
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     rate = n1 / max(n0 + n1, 1)
-    none = ToxicityModel(Vocabulary(np.zeros(0, dtype=U64)), np.zeros(0), None, np.zeros(0, dtype=np.int64), [], np.ones(2), rate, rate)
+    empty = np.zeros(0, dtype=np.int64)
+    none = ToxicityModel(Vocabulary(np.zeros(0, dtype=U64)), np.zeros(0), np.zeros(1, dtype=np.int64), empty, empty, empty, [], np.ones(2), rate, rate)
     if not n1 or not n0:
         return none
     got = examples(base_rows, known, positives, negatives)
@@ -284,8 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     if not m1 or not m0 or not width:
         return none
     n_terms = np.array([len(x) for x in names])
-    term = np.searchsorted(vocabulary.names, np.concatenate(names))
-    count = np.concatenate([np.frombuffer(g["counts"], dtype=np.int64) for g in got])
+    term = np.searchsorted(vocabulary.names, np.concatenate(names)).astype(np.int32)
+    count = np.concatenate([np.frombuffer(g["counts"], dtype=np.int64) for g in got]).astype(np.int32)
+    ids = [g["doc_id"] for g in got]
+    del got, names
     a, b = (np.bincount(term, weights=np.repeat(toxic == y, n_terms), minlength=width) for y in (1, 0))
     share = (a + b) / (m1 + m0)
     chi = np.divide((a / m1 - b / m0) ** 2, share * (1 - share) * (1 / m1 + 1 / m0), out=np.zeros(width), where=(share > 0) & (share < 1))
@@ -293,14 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     idf = (np.log((1 + n_docs) / (1 + df)) + 1) * (1 + np.maximum(chi - NOISE, 0) / CHI)
     weight = np.array([n0 / m0, n1 / m1])
     full = n_terms > 0
-    model = ToxicityModel(vocabulary, idf, None, toxic[full], [g["doc_id"] for g, f in zip(got, full) if f], weight, rate)
+    cut = np.append(0, np.cumsum(n_terms[full]))
+    model = ToxicityModel(vocabulary, idf, cut, term, count, toxic[full], [i for i, f in zip(ids, full) if f], weight, rate)
     w = weight[toxic]
     model.empty = float(((w * toxic)[~full].sum() + 0.01 * rate) / (w[~full].sum() + 0.01)) if (~full).any() else rate
-    cut = np.append(0, np.cumsum(n_terms[full]))
-    unit = model.vectors(cut, term, count)
-    model.index = BlockMaxIndex(cut, term, unit, width)
     x, y, ws = [], [], []
-    for k, (ids, cosines) in enumerate(model.index.nearest(cut, term, unit, NEIGHBOURS, skip=np.arange(len(cut) - 1))):
+    for k, (ids, cosines) in enumerate(model.index.nearest(cut, term, model.index.weight, NEIGHBOURS, skip=np.arange(len(cut) - 1))):
         if len(ids):
             x.append(model.vote(ids, cosines))
             y.append(model.toxic[k])
