@@ -42,7 +42,7 @@ from .spread import buckets, checkpoint
 
 BACKOFF = 0.4
 #: Bytes of text in a chunk, unless one text is longer; what a worker holds is about 40 times as much.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def _coded(x: np.ndarray) -> bytes:
