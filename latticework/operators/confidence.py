@@ -43,7 +43,7 @@ def score(boxes: DataFrame, sheet: str, width: int, height: int, evidence: DataF
         "spans": F.least(F.lit(1.0), zero("warnings") / F.col("n")),
         "merge_ratio": ramp(zero("merges") / (F.col("n") + zero("merges")), *MERGE_RAMP),
         "weak_grid": (F.coalesce(weak("reg_x", "n_x"), F.lit(0)) + F.coalesce(weak("reg_y", "n_y"), F.lit(0))) / 2,
-        "background": F.when(F.col("consensus").isNotNull() & F.col("kind").isin("kmeans", "otsu"), 1.0).otherwise(F.coalesce(ramp(CONSENSUS - F.col("consensus"), 0.0, CONSENSUS), F.lit(0.0))),
+        "background": F.when(F.col("consensus").isNull(), 0.0).when(F.col("kind").isin("kmeans", "otsu"), 1.0).otherwise(ramp(CONSENSUS - F.col("consensus"), 0.0, CONSENSUS)),
     })
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     return rows.select(sheet, "n", *WEIGHTS, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total)).alias("score"))
