@@ -196,7 +196,9 @@ def cell_transform(x: Column, y: Column, ink_x: Column, ink_y: Column, scale: Co
 def pace_line(decided: Column, total: Column, elapsed_ms: Column) -> Column:
     """Minutes that a pass takes at its pace so far, and whether they fit the budget."""
     projected = F.when(decided > 0, elapsed_ms / decided).otherwise(F.lit(0.0)) * F.greatest(total, decided)
-    return F.format_string("%.1f min projected, %s", projected / 60000, F.when(projected <= BUDGET_MS, "within budget").otherwise("over budget"))
+    # tenths are rounded as a double: halves that only the multiplication makes exact go up, as in SQL's round
+    minutes = F.round(projected / 60000 * 10) / 10
+    return F.format_string("%.1f min projected, %s", minutes, F.when(projected <= BUDGET_MS, "within budget").otherwise("over budget"))
 
 
 def score_payload(svg: Column, palette: Column, score: Column) -> Column:

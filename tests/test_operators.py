@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import scalars as S
+from latticework.functions import texts as X
 from latticework.operators import boxes as B
 from latticework.operators import lattice as L
 from latticework.operators import leveling as V
@@ -247,3 +248,15 @@ def test_csv_quote_of_whole_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {x.page_id: x.field for x in QUERIES["csv_quote"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 2: f'"{long},""b"', 3: f'"{long}\n"', 4: "x"}
+
+
+def test_pace_rounds_as_sql_does(spark):
+    """Minutes a hair below a half of a tenth, as DuckDB's round has them."""
+    import duckdb
+
+    ids = [49, 12999, 51849, 114327, 115677]
+    got = [r.p for r in spark.createDataFrame([(i,) for i in ids], "id long").select(X.pace_line(F.col("id") % 50, F.col("id"), F.col("id") * 1000).alias("p")).collect()]
+    p = "id * 1000 / (id % 50)::double * id"
+    sql = f"select printf('%.1f min projected, ', round({p} / 60000, 1)) || case when {p} <= 1200000 then 'within budget' else 'over budget' end from (select unnest({ids}::bigint[]) id)"
+    assert got == [r[0] for r in duckdb.sql(sql).fetchall()]
+    assert got[1] == "57474.2 min projected, over budget"
